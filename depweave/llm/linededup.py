@@ -90,9 +90,11 @@ class LineRuns:
 
 
 def batch_bounds(pairs: DataFrame, batches: int) -> list[int]:
-    """Rising upper ends (inclusive) of all batches but the last."""
-    cuts = pairs.approxQuantile("__d", [i / batches for i in range(1, batches)], 0.01)
-    return sorted({int(x) for x in cuts})
+    """Rising upper ends (inclusive) of all batches but the last, from the distribution of doc."""
+    if batches < 2:
+        return []
+    cuts = pairs.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
@@ -107,7 +109,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"))
     pairs = stage(line_pairs(rows.select(F.col("__doc").alias("doc"), F.col("text").cast("binary").alias("data")), min_chars), "line-pairs")
     runs = LineRuns(docs.sparkSession, fanout)
-    cuts = batch_bounds(pairs.select(F.col("doc").cast("double").alias("__d")), batches)
+    cuts = batch_bounds(pairs, batches)
     low = None
     for high in [*cuts, None]:
         batch = pairs if low is None else pairs.filter(F.col("doc") > low)
