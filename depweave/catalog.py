@@ -7,6 +7,7 @@ community is the number in the second segment of its id. Doubles are rounded to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from depweave.functions import text
 from depweave.operators import communities, contracts, cycles, drift, history, metrics, model, policy, query, smells
 from depweave.plans import graphs
+from depweave.plans.staging import shared_folder
+from depweave.streaming import watch
 
 NODE = "app.m1.x0.u1"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +157,14 @@ def confidence_pipeline(spark, sf_dir):
     return model.resolved_confidence(raw, stubs).select("project", "src", "dst", "kind", "confidence", "confidence_kind")
 
 
+@case(f"with {BASE} select project, src, dst, kind, weight, line, confidence, confidence_kind from e")
+def stream_rebuild(spark, sf_dir):
+    """The edges after all event files came in as a stream: the same rows as one merge."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    merge = lambda events: model.merge_edges(spark.sql(graphs.FLOW_RAW, events=events))
+    return watch.rebuild_edges(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string", merge, f"{folder}/state", f"{folder}/checkpoint")
+
+
 # --- predicates and names ----------------------------------------------------------------------------------------
 
 
