@@ -31,9 +31,7 @@ CLOSES = {
 SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "dd": frozenset({"dl"}), "dt": frozenset({"dl"}), **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), frozenset({"table"}))}
 OUTER = frozenset("html body table td th caption button article section main div".split())
 #: Words in class, id or role of parts that are not the article.
-UN#: Of those, words that a wrapper of the article may carry too ("content-with-sidebar"): they do not count beside a word of LIKELY.
-WEAK = frozenset("sidebar sidebars widget hidden banner page".split())
-LIKELY = frozenset("ad ads adbox adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended widget toolbar pager pagination complementary contentinfo search login skip hidden dialog".split())
+UNLIKELY = frozenset("ad ads adbox adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended widget toolbar pager pagination complementary contentinfo search login skip hidden dialog".split())
 #: Of those, words that a wrapper of the article may carry too ("content-with-sidebar"): they do not count beside a word of LIKELY.
 WEAK = frozenset("sidebar sidebars widget hidden banner page".split())
 LIKELY = frozenset("article articlebody body content entry main page post story text".split())
