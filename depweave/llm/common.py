@@ -79,5 +79,13 @@ def arrow_batch(columns: dict, schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def schema_of(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)

@@ -17,11 +17,11 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.llm.common import LOWER, schema_of, stage
+from depweave.llm.common import LOWER, schema_of, stage, unused
 
 WINDOW = 13
 #: Share of hit words from which a document is contaminated: 1 / 20.
@@ -119,30 +119,32 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield [(r["item"], bytes(r["data"])) for r in part.collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs plus `__found` struct<n_words long, hit array<int>, items array<string>>: hit word numbers, sorted item ids.
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, found: str = "__found") -> DataFrame:
+    """docs plus `found` struct<n_words long, hit array<int>, items array<string>>: hit word numbers, sorted item ids.
 
     Null text has no words. Items with a null id or text, or without a word, match nothing. Items of fewer words than
-    the window are one window of their own length. Repeated rows get the same result each.
+    the window are one window of their own length. Repeated rows get the same result each. `found` must be a new name.
     """
-    found = None
+    out = None
+    text = docs.select(text_col)
     key = F.sha2(F.col(text_col).cast("binary"), 256)
+    name, more = unused(docs, "__key"), unused(docs, "__more")
     for items in _blocks(benchmark, item_col, item_text, block_bytes):
         index = WindowIndex.build(items, window)
-        if found is None:
-            found = _scan_block(docs, text_col, index)
+        if out is None:
+            out = _scan_block(docs, text_col, index, found)
             continue
-        once = docs.select(key.alias("__key"), text_col).filter("__key is not null").dropDuplicates(["__key"])
-        more = _scan_block(once, text_col, index).filter(F.size("__found.items") > 0).select("__key", F.col("__found").alias("__more"))
-        both = found.withColumn("__key", key).join(stage(more, "decontam-block"), "__key", "left").drop("__key")
-        merged = F.struct(F.col("__found.n_words").alias("n_words"), F.array_sort(F.array_union("__found.hit", "__more.hit")).alias("hit"), F.array_sort(F.array_union("__found.items", "__more.items")).alias("items"))
-        found = both.withColumn("__found", F.when(F.col("__more").isNull(), F.col("__found")).otherwise(merged)).drop("__more")
-    return found
+        once = text.select(key.alias(name), text_col).filter(F.col(name).isNotNull()).dropDuplicates([name])
+        hits = _scan_block(once, text_col, index, found).filter(F.size(f"{found}.items") > 0).select(name, F.col(found).alias(more))
+        both = out.withColumn(name, key).join(stage(hits, "decontam-block"), name, "left").drop(name)
+        merged = F.struct(F.col(f"{found}.n_words").alias("n_words"), F.array_sort(F.array_union(f"{found}.hit", f"{more}.hit")).alias("hit"), F.array_sort(F.array_union(f"{found}.items", f"{more}.items")).alias("items"))
+        out = both.withColumn(found, F.when(F.col(more).isNull(), F.col(found)).otherwise(merged)).drop(more)
+    return out
 
 
-def _scan_block(docs: DataFrame, text_col: str, index: WindowIndex) -> DataFrame:
+def _scan_block(docs: DataFrame, text_col: str, index: WindowIndex, found: str) -> DataFrame:
     width = len(docs.columns)
-    out = T.StructType([*docs.schema.fields, schema_of("__found struct<n_words:long,hit:array<int>,items:array<string>>").fields[0]])
+    out = T.StructType([*docs.schema.fields, schema_of(f"{found} struct<n_words:long,hit:array<int>,items:array<string>>").fields[0]])
     kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
     sent = docs.sparkSession.sparkContext.broadcast(index)
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text_col).cast("binary").alias("data"))
@@ -160,14 +162,15 @@ def _scan_block(docs: DataFrame, text_col: str, index: WindowIndex) -> DataFrame
     return plain.mapInArrow(run, out)
 
 
-def contaminated(found: str = "__found", min_share: int = MIN_SHARE):
+def contaminated(found: str = "__found", min_share: int = MIN_SHARE) -> Column:
     hit = F.size(f"{found}.hit")
     return (hit > 0) & (F.lit(min_share) * hit >= F.col(f"{found}.n_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their columns as they were."""
-    return scan(docs, benchmark).filter(~contaminated()).select(*docs.columns)
+    found = unused(docs, "__found")
+    return scan(docs, benchmark, found=found).filter(~contaminated(found)).select(*docs.columns)
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -177,5 +180,6 @@ def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -
     def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without_spans(t.encode(), spans_of(t.encode(), list(h))).decode() for t, h in zip(texts, hits, strict=True)], dtype=object)
 
-    found = scan(docs, benchmark, text_col)
-    return found.withColumn(text_col, F.when(F.size("__found.hit") > 0, cut(text_col, "__found.hit")).otherwise(F.col(text_col))).select(*docs.columns)
+    name = unused(docs, "__found")
+    found = scan(docs, benchmark, text_col, found=name)
+    return found.withColumn(text_col, F.when(F.size(f"{name}.hit") > 0, cut(text_col, f"{name}.hit")).otherwise(F.col(text_col))).select(*docs.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import LOWER, arrow_batch, arrow_type, discard, schema_of, stage
+from depweave.llm.common import LOWER, arrow_batch, discard, schema_of, stage, unused
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
 NO_ID = (1 << 63) - 1
@@ -106,8 +106,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     Kept lines are joined by \\n. Other columns pass through, also an earlier n_lines or n_dropped (then replaced).
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"))
-    pairs = stage(line_pairs(rows.select(F.col("__doc").alias("doc"), F.col("text").cast("binary").alias("data")), min_chars), "line-pairs")
+    own, drop = unused(docs, "__doc"), unused(docs, "__drops")
+    rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(own))
+    pairs = stage(line_pairs(rows.select(F.col(own).alias("doc"), F.col("text").cast("binary").alias("data")), min_chars), "line-pairs")
     runs = LineRuns(docs.sparkSession, fanout)
     cuts = batch_bounds(pairs, batches)
     low = None
@@ -116,17 +117,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
         runs.add(batch if high is None else batch.filter(F.col("doc") <= high))
         low = high
     late = pairs.join(runs.table(), ["h1", "h2"]).filter("owner < doc")
-    drops = late.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
-    return _rewrite(rows.join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc"), columns, min_chars)
+    drops = late.groupBy(F.col("doc").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(drop))
+    return _rewrite(rows.join(drops, own, "left").drop(own), columns, drop, min_chars)
 
 
-def _rewrite(rows: DataFrame, columns: list[str], min_chars: int) -> DataFrame:
+def _rewrite(rows: DataFrame, columns: list[str], drop: str, min_chars: int) -> DataFrame:
     kinds = {f.name: f for f in rows.schema.fields}
     schema = schema_of("n_lines long, n_dropped long")
     out = type(schema)([kinds[c] for c in columns] + schema.fields)
     names = [f"c{i}" for i in range(len(columns))]
     text = columns.index("text")
-    plain = rows.select(*[F.col(c).cast("binary").alias(n) if c == "text" else F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], "__drops")
+    plain = rows.select(*[F.col(c).cast("binary").alias(n) if c == "text" else F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], drop)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

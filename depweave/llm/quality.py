@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import arrow_batch, crc_remainder, schema_of
+from depweave.llm.common import arrow_batch, crc_remainder, schema_of, unused
 
 #: Two-byte grams have a place each; three-byte grams are hashed to 2 ** TRI_BITS places behind them.
 TRI_BITS = 18
@@ -197,4 +197,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thres
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns as they were."""
     model = fit(*training_rows(docs.select("doc_id", "text"), labels))
-    return score(docs, model, "__score").filter(F.col("__score") >= threshold).select(*docs.columns)
+    name = unused(docs, "__score")
+    return score(docs, model, name).filter(F.col(name) >= threshold).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import LOWER, arrow_batch, schema_of, stage
+from depweave.llm.common import LOWER, arrow_batch, schema_of, stage, unused
 from depweave.llm.components import connected_components
 
 SEED, SHINGLE, BITS = 42, 3, 2
@@ -140,9 +140,9 @@ def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     A null id counts as a large one made from the text. Of rows with one id, the least by text stays.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
-    rows = docs.withColumn("__own_id", own)
-    first = near_duplicates(rows, "__own_id", "text", bits).filter("doc = component").groupBy("doc").agg(F.count(F.lit(1)).alias("__rows"))
-    kept = rows.join(first.withColumnRenamed("doc", "__own_id"), "__own_id")
-    again = kept.filter("__rows > 1").groupBy("__own_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("__row"))
-    return kept.filter("__rows = 1").select(*docs.columns).unionByName(again.select("__row.*"))
+    own, count = unused(docs, "__own_id"), unused(docs, "__rows")
+    rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    first = near_duplicates(rows, own, "text", bits).filter("doc = component").groupBy(F.col("doc").alias(own)).agg(F.count(F.lit(1)).alias(count))
+    kept = rows.join(first, own)
+    again = kept.filter(F.col(count) > 1).groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("row"))
+    return kept.filter(F.col(count) == 1).select(*docs.columns).unionByName(again.select("row.*"))
