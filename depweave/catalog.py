@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from depweave.functions import text
 from depweave.operators import communities, contracts, cycles, drift, history, metrics, model, policy, query, smells
 from depweave.plans import graphs
-from depweave.plans.staging import shared_folder
+from depweave.plans.staging import shared_folder, stage
 from depweave.streaming import watch
 
 NODE = "app.m1.x0.u1"
@@ -78,10 +78,15 @@ def r6(c: str):
     return F.round(c, 6).alias(c)
 
 
-def flow(spark: SparkSession, sf_dir: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and merged edges of the flow graph, or of its part before or after."""
+def flow_edges(spark: SparkSession, sf_dir: str, part: str | None = None) -> DataFrame:
+    """Merged edges of the flow graph, or of its part before or after."""
     raw = graphs.flow_raw(spark, sf_dir)
-    edges = model.merge_edges(raw.filter(PARTS[part]) if part else raw)
+    return model.merge_edges(raw.filter(PARTS[part]) if part else raw)
+
+
+def flow(spark: SparkSession, sf_dir: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and merged edges; the edges are staged, as the queries that want both read them several times."""
+    edges = stage(flow_edges(spark, sf_dir, part), "flow")
     return graphs.flow_nodes(edges), edges
 
 
@@ -95,7 +100,7 @@ def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @case(f"with {BASE} select project, src, dst, kind, weight, line, confidence, confidence_kind from e")
 def edge_merge(spark, sf_dir):
-    return flow(spark, sf_dir)[1]
+    return flow_edges(spark, sf_dir)
 
 
 @case(f"with {BASE}, f as (select r.project, r.src id, r.kind, r.seq from raw r) select project, id, arg_min(kind, seq) kind, min(seq) line from f group by project, id")
@@ -112,7 +117,7 @@ def placeholder_nodes(spark, sf_dir):
 
 @case(f"with {BASE} select project, src, dst, kind, weight, line, confidence, confidence_kind from e where confidence_kind <> 'ExpectedExternal'")
 def scoring_view(spark, sf_dir):
-    return model.scoring_view(flow(spark, sf_dir)[1])
+    return model.scoring_view(flow_edges(spark, sf_dir))
 
 
 @case(f"with {BASE} select project, id, in_degree, out_degree from m")
@@ -133,7 +138,7 @@ _KINDS = {"extracted": "Extracted", "inferred": "Inferred", "ambiguous": "Ambigu
 @case(f"""with {BASE} select project, {", ".join(f"count(*) filter (confidence_kind = '{v}') {k}_count, round(count(*) filter (confidence_kind = '{v}') * 100.0e0 / count(*), 6) {k}_pct" for k, v in _KINDS.items())},
   round(avg(confidence), 6) mean_confidence from e group by project""")
 def confidence_summary(spark, sf_dir):
-    out = history.confidence_summary(flow(spark, sf_dir)[1])
+    out = history.confidence_summary(flow_edges(spark, sf_dir))
     return out.select("project", *[x for k in _KINDS for x in (f"{k}_count", r6(f"{k}_pct"))], r6("mean_confidence"))
 
 
@@ -151,7 +156,7 @@ x as (select e.*, split_part(e.dst, '.', 2) <> 'm3' is_local, exists (select 1 f
 select project, src, dst, kind, case when kind = 'Defines' then confidence when is_local then least(confidence, 0.8e0) else least(confidence, 0.5e0) end confidence,
   case when kind = 'Defines' then confidence_kind when not is_local and expected then 'ExpectedExternal' when not is_local then 'Ambiguous' when src like '%u1' then 'Inferred' else confidence_kind end confidence_kind from x""")
 def confidence_pipeline(spark, sf_dir):
-    _, edges = flow(spark, sf_dir)
+    edges = flow_edges(spark, sf_dir)
     raw = edges.withColumn("is_local", text.segment(F.col("dst"), 1) != "m3").withColumn("resolver_confidence", F.lit(0.8)).withColumn("raw_dst", F.when(F.col("src").endswith("u1"), F.lit("?")).otherwise(F.col("dst")))
     stubs = spark.createDataFrame([("web", "app.m1"), ("web", "app.m2.x1"), ("app", "app.m")], "project string, prefix string")
     return model.resolved_confidence(raw, stubs).select("project", "src", "dst", "kind", "confidence", "confidence_kind")
@@ -274,17 +279,17 @@ def full_metrics(spark, sf_dir):
 
 @case(f"with {BASE} select project, src id, kind, confidence, confidence_kind from e where dst = '{NODE}'")
 def dependents(spark, sf_dir):
-    return query.dependents(flow(spark, sf_dir)[1], NODE)
+    return query.dependents(flow_edges(spark, sf_dir), NODE)
 
 
 @case(f"with {BASE} select project, dst id, kind, confidence, confidence_kind from e where src = '{NODE}'")
 def dependencies(spark, sf_dir):
-    return query.dependencies(flow(spark, sf_dir)[1], NODE)
+    return query.dependencies(flow_edges(spark, sf_dir), NODE)
 
 
 @case(f"with recursive {BASE}, t(project, id, depth) as (select distinct project, '{NODE}', 0 from e where dst = '{NODE}' union select t.project, e.src, t.depth + 1 from t join e on e.project = t.project and e.dst = t.id where t.depth < 4) select project, id, cast(min(depth) as bigint) depth from t where id <> '{NODE}' group by project, id")
 def transitive_dependents_d4(spark, sf_dir):
-    return query.transitive_dependents(flow(spark, sf_dir)[1], NODE, 4)
+    return query.transitive_dependents(flow_edges(spark, sf_dir), NODE, 4)
 
 
 _DAG = """g as (select 'r' || n_regionkey src, 'n' || n_nationkey dst from nation union all select 'n' || s_nationkey, 's' || s_suppkey from supplier union all select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem)"""

@@ -58,7 +58,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, backwards: bool = Fal
     Level by level: a join with the links, an anti-join with what was seen. Each level is written once.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
-    links = edges.select("project", F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    links = stage(edges.select("project", F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "reach-links")
     level = stage(starts.select("project", F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("depth")).distinct(), "reach")
     seen = [level]
     for d in range(1, depth + 1):
@@ -85,7 +85,7 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, most
     """
     known = nodes.filter(F.col("id").isin(start, end)).groupBy("project").agg(F.collect_set("id").alias("ids")).filter(F.size("ids") == len({start, end})).select("project")
     starts = known.select("project", F.lit(start).alias("id"))
-    links = edges.join(known, "project", "left_semi")
+    links = stage(edges.join(known, "project", "left_semi"), "path-links")
     back = stage(reach(links, known.select("project", F.lit(end).alias("id")), most, backwards=True).select("project", "id", "depth"), "path-depth")
     here = stage(starts.join(back, ["project", "id"]).select("project", F.col("depth").alias("left"), F.array(F.struct("id", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("weight"))).alias("steps")), "path")
     hops = here.agg(F.max("left")).first()[0]
@@ -106,7 +106,7 @@ def all_paths(edges: DataFrame, start: str, end: str, depth: int = PATH_DEPTH, m
 
     `most` is the report's cap; None gives all. With start = end the paths are cycles through the node.
     """
-    links = edges.select("project", "src", "dst").distinct()
+    links = stage(edges.select("project", "src", "dst").distinct(), "path-links")
     level = links.filter(F.col("src") == start).select("project", F.array("src", "dst").alias("nodes"))
     found = []
     for d in range(1, depth + 1):

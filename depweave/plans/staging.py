@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges of one project that a single task may hold; larger projects take the distributed program.
-KERNEL_EDGES = 3_000_000
+KERNEL_EDGES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
