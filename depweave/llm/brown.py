@@ -29,8 +29,8 @@ from depweave.llm.common import LOWER, arrow_batch, crc_remainder, schema_of, st
 ITEMS, ENDINGS, CLASSES, HEAD = 1_000, 255, 48, 65_536
 SWEEPS, DELTA, SEED = 8, 0.1, 42
 HOLD_OUT_MODULUS, HOLD_OUT = 10, 0
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Distinct words that a task counts, and rows that it makes, before it hands them on.
+FLUSH, ROWS = 200_000, 50_000
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -257,9 +257,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
         base_log = np.log10(m.items.count + DELTA) - m.base_floor
         own_log = np.log10(m.items.count + DELTA) - m.emission[m.classes[m.items.item]] if len(m.items.item) else base_log
         end_known, end_log = int(m.ends > 0), float(np.log10(m.ends + DELTA)) - m.base_floor
+        out: dict[str, list] = {name: [] for name in schema.fieldNames()}
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in schema.fieldNames()}
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
+                doc, data = doc.as_py(), data.as_py()
                 uid += 1
                 words = tokens(data)
                 ids, seq = m.items.sequence(words)
@@ -279,7 +280,10 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
                 out["known"] += [len(head) + end_known, *[0] * len(rare)]
                 out["base"] += [base, *[0.0] * len(rare)]
                 out["own"] += [own, *[0.0] * len(rare)]
-            yield arrow_batch(out, schema)
+                if len(out["uid"]) >= ROWS:
+                    yield arrow_batch(out, schema)
+                    out = {name: [] for name in schema.fieldNames()}
+        yield arrow_batch(out, schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
     met = rows.join(vocabulary.select("word", "n"), "word", "left")
