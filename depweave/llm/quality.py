@@ -85,10 +85,13 @@ class Model:
 
 
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    sums = [np.full(SIZE, ALPHA), np.full(SIZE, ALPHA)]
+    """Log ratio of the shares of label 1 and label 0 that have an n-gram. ALPHA rows, of either label as often as in the
+    data, are added with each n-gram: one that was never seen is no evidence, however few rows a label has."""
+    size, share = (labels > 0).sum(), (labels > 0).mean()
+    sums = [np.zeros(SIZE), np.zeros(SIZE)]
     for places, y in zip(rows, labels, strict=True):
         sums[int(y > 0)][places] += 1
-    return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    return np.log((sums[1] + ALPHA * share) / (size + ALPHA)) - np.log((sums[0] + ALPHA * (1 - share)) / (len(labels) - size + ALPHA))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -96,12 +99,11 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratio: n
     rng, w, bias = np.random.default_rng(seed), np.zeros(SIZE), 0.0
     values = [ratio[p] / np.sqrt((ratio[p] ** 2).sum() + DAMPING) for p in rows]
     alpha, norm = np.zeros(len(rows)), np.array([float(v @ v) + 1 for v in values])
-    cost = C * np.where(labels > 0, len(labels) / (2 * max((labels > 0).sum(), 1)), len(labels) / (2 * max((labels < 0).sum(), 1)))
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(rows)):
             slope = labels[i] * (w[rows[i]] @ values[i] + bias) - 1
-            new = min(max(alpha[i] - slope / norm[i], 0.0), cost[i])
+            new = min(max(alpha[i] - slope / norm[i], 0.0), C)
             if (step := (new - alpha[i]) * labels[i]) != 0:
                 w[rows[i]] += step * values[i]
                 bias += step
