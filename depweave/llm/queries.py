@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op5_chat_format": oracles.OP5, "op6_line_dedup": oracles.OP6}
+    return {"op3_decontaminate": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op5_chat_format": oracles.OP5, "op6_line_dedup": oracles.OP6, "op10_html_text": oracles.OP10}
