@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from depweave.llm.common import arrow_batch, schema_of, stage
 
-#: Labelled rows that rules are learned from, at most: those with the least hash of their id.
+#: Labelled rows that rules are learned from, at most: those with the least rank, a hash of their id.
 MAX_ROWS = 20_000
 CUTS, MAX_RULES, MAX_CONDITIONS, PRUNE_SHARE = 24, 12, 4, 3
 SYMBOLS = b"#*$%&|<>"
@@ -187,8 +188,12 @@ def verdict(rules: list[Rule]) -> Column:
 def learn_rules(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[Rule]:
     """Rules from at most max_rows labelled documents of a statistics table. Repeated labels of a document: the least counts."""
     usable = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    known = usable.count()
+    if known > max_rows:  # the rows of least rank are all below this cut, but for chance of no account: what meets on the driver is bounded
+        usable = usable.filter(rank <= ceil((1 << 20) * (1.1 * max_rows + 1_000) / known))
     rows = stats.select(F.col("doc_id"), *[f().alias(f"f_{k}") for k, f in FEATURES.items()]).join(usable, "doc_id")
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"f_{k}" for k in FEATURES]).limit(max_rows).toPandas()
+    chosen = rows.orderBy(rank, "doc_id", *[f"f_{k}" for k in FEATURES]).limit(max_rows).toPandas()
     return learn({k: chosen[f"f_{k}"].to_numpy(float) for k in FEATURES}, chosen["quality"].to_numpy())
 
 
