@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depweave.plans.staging import discard, shared_folder, stage  # noqa: F401
+
+
 #: A-Z to a-z, every other byte as it is (also the bytes of other UTF-8 letters).
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 UPPER_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,40 +32,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER_CHARS, UPPER_CHARS.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where the session has none (tests on one machine) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depweave-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, lost executors cost nothing before it."""
-    path = staged_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Remove a staged table that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
