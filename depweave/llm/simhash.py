@@ -11,7 +11,7 @@ large lists) are verified and handed on as a spanning forest, so a group of n ne
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -135,14 +135,15 @@ def near_duplicates(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     return fps.join(named, "fp").select("doc", "fp", "component")
 
 
-def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def keep_first(docs: DataFrame, bits: int = BITS, find: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """The documents that are the first of their near-duplicate component, with all their columns.
 
-    A null id counts as a large one made from the text. Of rows with one id, the least by text stays.
+    find(rows, id column, text column) -> (doc, component, ...) takes the place of near_duplicates. A null id counts as a large one made from the text. Of rows with one id, the least by text stays.
     """
     own, count = unused(docs, "__own_id"), unused(docs, "__rows")
     rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    first = near_duplicates(rows, own, "text", bits).filter("doc = component").groupBy(F.col("doc").alias(own)).agg(F.count(F.lit(1)).alias(count))
+    near = find(rows, own, "text") if find else near_duplicates(rows, own, "text", bits)
+    first = near.filter("doc = component").groupBy(F.col("doc").alias(own)).agg(F.count(F.lit(1)).alias(count))
     kept = rows.join(first, own)
     again = kept.filter(F.col(count) > 1).groupBy(own).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNotNull(), "text")).alias("row"))
     return kept.filter(F.col(count) == 1).select(*docs.columns).unionByName(again.select("row.*"))
