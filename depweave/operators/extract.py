@@ -171,11 +171,11 @@ def reexport_hops(parsed: DataFrame, resolved: DataFrame) -> tuple[DataFrame, Da
     return named.select("project", "module", "name", "h.*"), stars
 
 
-def walk_reexports(starts: DataFrame, named: DataFrame, stars: DataFrame, known: DataFrame, rounds: int = 64) -> DataFrame:
+def walk_reexports(starts: DataFrame, named: DataFrame, stars: DataFrame, known: DataFrame) -> DataFrame:
     """starts(project, module, name) -> plus state, to_project, to_module, to_name, alternatives.
 
     state 'canonical' (the module is known), 'unresolved' (it is not) or 'cycle'. A star is followed if its target
-    exports the name itself. All starts move one hop a round.
+    exports the name itself. All starts move one hop a round, until none is open: a walk ends or meets a place it has seen.
     """
     named, stars = stage(named, "hops"), stage(stars, "stars")
     start = starts.select("project", "module", "name").distinct()
@@ -183,7 +183,7 @@ def walk_reexports(starts: DataFrame, named: DataFrame, stars: DataFrame, known:
     done = []
     through = stars.join(named.select(F.col("project").alias("to_project"), F.col("module").alias("to_module"), "name").distinct(), ["to_project", "to_module"])
     through = through.groupBy("project", "module", "name").agg(F.min_by(F.struct(F.col("to_project").alias("p"), F.col("to_module").alias("m")), "ord").alias("star"))
-    for _ in range(rounds):
+    while True:
         here = F.concat_ws("|", "project", "module", "name")
         step = open_rows.join(named, ["project", "module", "name"], "left").join(through, ["project", "module", "name"], "left")
         step = step.withColumn("state", F.when(F.array_contains("seen", here), "cycle").when(F.col("to_module").isNotNull() & ~F.col("to_local"), "outside").when(F.col("to_module").isNull() & F.col("star").isNull(), "end").otherwise("open"))

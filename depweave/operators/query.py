@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from depweave.functions.text import glob_match
 from depweave.plans.staging import discard, stage
 
 TRANSITIVE_DEPTH, PATH_DEPTH, MAX_PATHS = 10, 10, 20
+#: Levels of a long search that are read apart; more are written together.
+MERGE_LEVELS = 16
 
 
 def stats(nodes: DataFrame, edges: DataFrame, assignment: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -52,8 +55,8 @@ def dependencies(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("src") == node).select("project", F.col("dst").alias("id"), "kind", "confidence", "confidence_kind")
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, backwards: bool = False) -> DataFrame:
-    """(project, start, id, depth): the least number of hops from each start(project, id), up to `depth`; starts themselves at 0.
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None, backwards: bool = False) -> DataFrame:
+    """(project, start, id, depth): the least number of hops from each start(project, id), up to `depth` (None: all); starts themselves at 0.
 
     Level by level: a join with the links, an anti-join with what was seen. Each level is written once.
     """
@@ -61,7 +64,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, backwards: bool = Fal
     links = stage(edges.select("project", F.col(a).alias("id"), F.col(b).alias("next")).distinct(), "reach-links")
     level = stage(starts.select("project", F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("depth")).distinct(), "reach")
     seen = [level]
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
+        if len(seen) > MERGE_LEVELS:
+            merged = stage(reduce(DataFrame.unionByName, seen), "reach")
+            for x in seen[:-1]:  # the last is still the frontier
+                discard(x)
+            seen = [merged]
         known = reduce(DataFrame.unionByName, seen).select("project", "start", "id")
         new = level.join(links, ["project", "id"]).select("project", "start", F.col("next").alias("id")).distinct().join(known, ["project", "start", "id"], "left_anti")
         level = stage(new.withColumn("depth", F.lit(d).cast("long")), "reach")
@@ -78,10 +86,11 @@ def transitive_dependents(edges: DataFrame, node: str, depth: int = TRANSITIVE_D
     return reach(edges, starts, depth, backwards=True).filter("depth > 0").select("project", "id", "depth")
 
 
-def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, most: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
     """(project, step, id, kind, weight): a path of fewest hops; the last step has no kind and weight 0. Empty if there is none.
 
-    Among equal paths the one through the least ids is taken (and of two kinds, the least).
+    Paths of any length are found, or with `most` those of so many hops at most. Among equal paths the one
+    through the least ids is taken (and of two kinds, the least).
     """
     known = nodes.filter(F.col("id").isin(start, end)).groupBy("project").agg(F.collect_set("id").alias("ids")).filter(F.size("ids") == len({start, end})).select("project")
     starts = known.select("project", F.lit(start).alias("id"))
