@@ -3,39 +3,48 @@
 Documents become token ids; those longer than a sequence are cut into whole sequences and one shorter first piece.
 The pieces below a sequence's length are dealt into shards of bounded size. Each shard is bred by several islands: a
 chromosome is a grouping of pieces into bins; crossover injects whole well-filled bins of one parent into the other,
-drops the bins that now hold a piece twice and best-fits the pieces set free; mutation dissolves a few bins. After
-each epoch the elite of every island migrates to the next island of its shard (a shuffle of one row an island). In a
-last step the pieces in the bins that stayed badly filled, from all shards, are dealt out and bred again together.
+drops the bins that now hold a piece twice, swaps pieces set free for smaller ones where that fills a bin better, and
+best-fits the rest; mutation dissolves a few bins and does the same. Breeding ends as soon as the number of bins meets
+a lower bound, so that a shard that best-fit-decreasing packs as well as can be costs little. After each epoch the
+elite of every island migrates to the next island of its shard (a shuffle of one row an island). In a last step the
+pieces in the bins that stayed badly filled, from all shards, are dealt out and bred again together.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import arrow_batch, schema_of, stage
+from depweave.llm.common import arrow_batch, discard, schema_of, stage
 
 CAPACITY, END_ID = 1024, 2
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 4, 4
-#: Text chunks whose ids a task keeps; the store is emptied when it is full.
-CACHE = 250_000
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 6, 24
+#: Text chunks whose ids a task keeps, and the bytes of text that it turns into ids at once.
+CACHE, BLOCK = 300_000, 4_000_000
+#: A bin of the other parent is well filled from GOOD of its capacity on; below LOOSE it is opened in the child.
+GOOD, LOOSE = 63 / 64, 7 / 8
+
+Bins = list[list[int]]
+_CUT = re.compile(r" (?=\S)")
 
 
 class Ids:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes, equal to those of the `tokenizers` library.
+    """Token ids of texts, as little-endian unsigned 32-bit numbers, equal to those of the `tokenizers` library.
 
-    The byte-level pre-tokenizer never joins across a space that a non-space follows, so a text is cut there and the
-    ids of each chunk are kept. Chunks not seen yet go to tiktoken with the same vocabulary, which is several times
-    faster; a text that holds a special token's string goes to `tokenizers` itself.
+    The byte-level pre-tokenizer never joins across a space that a non-space follows, so a block of texts is cut there
+    and each distinct chunk is turned into ids once; the ids of the texts are then gathered by chunk number. Chunks go
+    to tiktoken with the same vocabulary, which is several times faster; a text that holds a special token's string
+    goes to `tokenizers` itself.
     """
 
     def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None):
@@ -54,38 +63,73 @@ class Ids:
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def chunk(self, text: str) -> bytes:
-        ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        if len(text) < 64:
-            self.cache[text] = ids
+        """The ids of a chunk; short ones are kept until the store is full (frequent ones come early)."""
+        if (ids := self.cache.get(text)) is None:
+            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            if len(text) < 64 and len(self.cache) < CACHE:
+                self.cache[text] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
+    def of(self, text: str) -> np.ndarray:
+        """The ids of one text."""
         if not text:
-            return b""
+            return np.zeros(0, "<u4")
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
+    def long(self, text: str) -> np.ndarray:
+        """The ids of a text beyond BLOCK, part by part."""
         if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split(" ")
-        if not all(parts) or any(p[0].isspace() for p in parts[1:]):
-            parts = self.joined(parts)
-        get, new = self.cache.get, self.chunk
-        out = [get(parts[0]) or new(parts[0])] if parts[0] else []
-        for p in parts[1:]:
-            p = " " + p
-            out.append(get(p) or new(p))
-        return b"".join(out)
-
-    @staticmethod
-    def joined(parts: list[str]) -> list[str]:
-        """A part that is empty or begins with white space belongs to the one before it."""
-        runs = [[parts[0]]]
-        for p in parts[1:]:
-            if not p or p[0].isspace():
-                runs[-1].append(p)
+            return self.of(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + BLOCK // 4)
+            end = cut.start() if cut else len(text)
+            out += self.block(pa.array([text[at:end]]))
+            at = end
+        return np.concatenate(out)
+
+    def block(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of some texts without nulls."""
+        if self.fast is None or not len(texts):
+            return [self.of(t) for t in texts.to_pylist()]
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.values.dictionary_encode()
+        words, codes, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
+        firsts = ends[:-1]
+        # a space before another space, other white space or the end does not separate: such texts go whole
+        open_words = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        joined = open_words[codes]
+        joined[firsts] = False
+        whole = np.add.reduceat(joined, firsts, dtype=np.int64) > 0
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        ids = [b"" if skip else self.chunk(" " + w) for w, skip in zip(words, open_words.tolist(), strict=True)]
+        ids += [self.chunk(words[c]) if words[c] else b"" for c in codes[firsts].tolist()]
+        codes[firsts] = len(words) + np.arange(len(firsts))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        counts = sizes[codes]
+        upto = np.cumsum(counts)
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (upto - counts), counts) + np.arange(upto[-1])
+        out = np.split(flat[places], upto[ends[1:-1] - 1])
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self.of(texts[i].as_py())
+        return out
+
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), in blocks of bounded size."""
+        texts = pc.fill_null(texts, "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+            if end == at + 1 and upto[at] - (upto[at - 1] if at else 0) > BLOCK:
+                yield self.long(texts[at].as_py())
             else:
-                runs.append([p])
-        return [" ".join(r) for r in runs]
+                yield from self.block(pa.concat_arrays([texts.slice(at, end - at)]))
+            at = end
 
 
 def tokenizer_files() -> dict:
@@ -107,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
         own, uid = Ids(tokenizer, ranks, pattern), TaskContext.get().partitionId() << 36
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.fieldNames()}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = own.of(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), own.many(batch.column(1)), strict=True):
+                data = ids.tobytes() + end
                 total = len(data) // 4
                 start, k = 0, 0
                 while start < total:
@@ -122,12 +166,24 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
                     start, k = start + size, k + 1
             yield arrow_batch(out, schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs: the sum's, or for some t that of pieces above half a bin with those of at least t."""
+    s = np.sort(np.asarray(sizes, np.int64))
+    upto = np.concatenate([[0], np.cumsum(s)])
+    half = int(np.searchsorted(s, capacity // 2, side="right"))
+    t = np.unique(np.concatenate([[0], s[:half]]))
+    alone = np.maximum(np.searchsorted(s, capacity - t, side="right"), half)
+    room = (alone - half) * capacity - (upto[alone] - upto[half])
+    small = upto[half] - upto[np.minimum(np.searchsorted(s, t), half)]
+    return int((len(s) - half + np.maximum(0, -(-(small - room) // capacity))).max(initial=0))
 
-def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+
+def best_fit(sizes: list[int], order: list[int], bins: Bins, capacity: int, filled: list[int] | None = None) -> Bins:
     """Put pieces into the bins, which are changed, or new ones: always where the least room is left."""
-    room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+    room = sorted((capacity - x, k) for k, x in enumerate(filled if filled is not None else [sum(sizes[i] for i in b) for b in bins]))
     for i in order:
         at = bisect_left(room, (sizes[i], -1))
         if at < len(room):
@@ -141,45 +197,74 @@ def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity
     return bins
 
 
-def _fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (mean square of the filling)."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossover(sizes: list[int], first: list[list[int]], second: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Whole well-filled bins of one parent go into the other; bins with duplicates go; displaced pieces are best-fitted."""
-    full = [b for b in first if 64 * (capacity - sum(sizes[i] for i in b)) <= capacity]
-    taken = [full[i] for i in np.flatnonzero(rng.random(len(full)) < 0.7)]
-    have = {i for b in taken for i in b}
-    child = [list(b) for b in taken]
-    displaced = []
+def _filled(sizes: list[int], bins: Bins) -> list[int]:
+    return [sum([sizes[i] for i in b]) for b in bins]
+
+
+def _fitness(filled: list[int]) -> tuple[int, int]:
+    """Fewer bins first, then fuller ones (sum of squares)."""
+    return len(filled), -sum([x * x for x in filled])
+
+
+def place_displaced(sizes: list[int], bins: Bins, filled: list[int], displaced: list[int], capacity: int) -> Bins:
+    """Best-fit displaced pieces; before that, fuller bins first, swap one for one or two of a bin where the bin gains most."""
+    loose = sorted((sizes[i], i) for i in displaced)
+    for k in sorted(range(len(bins)), key=lambda k: -filled[k]):
+        room, own = capacity - filled[k], bins[k]
+        if not room:
+            continue
+        gain, out, at = 0, (), -1
+        pairs = [(i, j) for n, i in enumerate(own) for j in own[:n]] if len(own) <= 8 else []
+        for group in ([(i,) for i in own], pairs):
+            for some in group:
+                have = sum([sizes[i] for i in some])
+                found = bisect_right(loose, (have + room, len(sizes))) - 1
+                if found >= 0 and loose[found][0] - have > gain:
+                    gain, out, at = loose[found][0] - have, some, found
+            if gain == room:
+                break
+        if out:
+            new = loose.pop(at)[1]
+            bins[k] = [i for i in own if i not in out] + [new]
+            filled[k] += gain
+            for i in out:
+                insort(loose, (sizes[i], i))
+    return best_fit(sizes, [i for _, i in reversed(loose)], bins, capacity, filled)
+
+
+def crossover(sizes: list[int], first: Bins, second: Bins, capacity: int, rng: np.random.Generator) -> Bins:
+    """Half of the well-filled bins of one parent go whole into the other; bins with duplicates go; what they held is placed anew."""
+    full = [b for b, x in zip(first, _filled(sizes, first), strict=True) if x >= GOOD * capacity]
+    child = [full[i] for i in np.flatnonzero(rng.random(len(full)) < 0.5)]
+    have = {i for b in child for i in b}
+    displaced: list[int] = []
     for b in second:
         if have.isdisjoint(b):
-            child.append(list(b))
+            child.append(b)
         else:
             displaced += [i for i in b if i not in have]
-    # bins that stay badly filled are opened as well
-    loose = [k for k, b in enumerate(child) if 8 * (capacity - sum(sizes[i] for i in b)) > capacity]
-    for k in reversed(loose):
-        displaced += child.pop(k)
-    displaced.sort(key=sizes.__getitem__, reverse=True)
-    return best_fit(sizes, displaced, child, capacity)
-
-
-def mutate(sizes: list[int], bins: list[list[int]], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Dissolve the least filled bins and a few random ones, and best-fit their pieces."""
-    filled = np.array([sum(sizes[i] for i in b) for b in bins])
-    out = set(np.argsort(filled, kind="stable")[: max(1, len(bins) // 50)].tolist()) | set(rng.integers(0, len(bins), max(1, len(bins) // 50)).tolist())
-    loose = [i for k in out for i in bins[k]]
-    kept = [list(b) for k, b in enumerate(bins) if k not in out]
-    rng.shuffle(loose)
-    loose.sort(key=lambda i: sizes[i] // 32, reverse=True)
-    return best_fit(sizes, loose, kept, capacity)
-
-
-def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
+    kept, filled = [], []
+    for b, x in zip(child, _filled(sizes, child), strict=True):
+        if x >= LOOSE * capacity:
+            kept.append(list(b))
+            filled.append(x)
+        else:
+            displaced += b
+    return place_displaced(sizes, kept, filled, displaced, capacity)
+
+
+def mutate(sizes: list[int], bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
+    """Dissolve the least filled bins and as many random ones, and place their pieces anew."""
+    filled = _filled(sizes, bins)
+    some = max(2, len(bins) // 20)
+    gone = set(np.argsort(filled, kind="stable")[:some].tolist()) | set(rng.integers(0, len(bins), some).tolist())
+    kept = [k for k in range(len(bins)) if k not in gone]
+    return place_displaced(sizes, [list(bins[k]) for k in kept], [filled[k] for k in kept], [i for k in sorted(gone) for i in bins[k]], capacity)
+
+
+def evolve(sizes: list[int], seeds: list[Bins], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
     """One epoch of one island; the elite it ends with."""
-    rng, bound = np.random.default_rng(seed), ceil(sum(sizes) / capacity)
+    rng, bound = np.random.default_rng(seed), lower_bound(sizes, capacity)
     pool = [[list(b) for b in x] for x in seeds]
     order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
     if not pool:
@@ -187,7 +272,7 @@ def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, seed:
     while len(pool) < population and min(map(len, pool)) > bound:
         noise = rng.random(len(sizes)) * 0.05 * capacity * len(pool)
         pool.append(best_fit(sizes, sorted(order, key=lambda i: -sizes[i] - noise[i]), [], capacity))
-    ranked = sorted(((_fitness(sizes, x, capacity), k, x) for k, x in enumerate(pool)), key=lambda x: x[:2])
+    ranked = sorted(((_fitness(_filled(sizes, x)), k, x) for k, x in enumerate(pool)), key=lambda x: x[:2])
     count = len(ranked)
     for _ in range(generations):
         if ranked[0][0][0] <= bound:
@@ -196,7 +281,7 @@ def evolve(sizes: list[int], seeds: list[list[list[int]]], capacity: int, seed:
         children = [crossover(sizes, best, mate, capacity, rng), crossover(sizes, mate, best, capacity, rng), mutate(sizes, best, capacity, rng)]
         for child in children:
             count += 1
-            ranked.append((_fitness(sizes, child, capacity), count, child))
+            ranked.append((_fitness(_filled(sizes, child)), count, child))
         ranked = sorted(ranked, key=lambda x: x[:2])[:population]
     return ranked[0][2]
 
@@ -208,7 +293,7 @@ def _deal(items: DataFrame, shard: int, salt: int) -> DataFrame:
 
 
 def _breed(dealt: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """dealt(uid, length, shard) -> (uid, length, shard, bin, offset, filled) of each shard's elite."""
+    """dealt(uid, length, shard) -> (uid, length, shard, bin, offset, filled) of each shard's elite, staged."""
     parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct(F.col("length").cast("int").alias("length"), "uid"))).alias("own"))
     rows = stage(rows, "pack-shards")
@@ -232,11 +317,13 @@ def _breed(dealt: DataFrame, capacity: int, islands: int, epochs: int) -> DataFr
         return run
 
     sizes = rows.select("shard", F.col("own.length").alias("sizes"))
+    old = []
     for number in range(epochs):
         work = sizes.join(elites, "shard").repartition(int(parts), "shard", "island")
         bred = stage(work.select("shard", "island", "sizes", "a", "b").mapInPandas(epoch(number), schema), "pack-elite")
         migrant = bred.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("a").alias("b"))
         elites = bred.select("shard", "island", "a").join(migrant, ["shard", "island"])
+        old.append(bred)
     best = bred.groupBy("shard").agg(F.min_by("a", F.struct("bins", "island")).alias("a"))
     schema = "uid long, length int, shard long, bin int, offset long, filled long"
 
@@ -247,7 +334,10 @@ def _breed(dealt: DataFrame, capacity: int, islands: int, epochs: int) -> DataFr
                 size = one.groupby("bin")["length"]
                 yield one.assign(shard=shard, offset=size.cumsum() - one["length"], filled=size.transform("sum"))[["uid", "length", "shard", "bin", "offset", "filled"]]
 
-    return rows.join(best, "shard").select("shard", "own", "a").mapInPandas(place, schema)
+    out = stage(rows.join(best, "shard").select("shard", "own", "a").mapInPandas(place, schema), "pack-placed")
+    for table in (rows, *old):
+        discard(table)
+    return out
 
 
 def _bins(assigned: np.ndarray) -> list[list[int]]:
@@ -264,7 +354,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
     """
     table = stage(table, "pack-pieces")
     items = table.filter("sequence_id is null").select("uid", "length")
-    first = stage(_breed(_deal(items, shard, 0), capacity, islands, epochs), "pack-first")
+    first = _breed(_deal(items, shard, 0), capacity, islands, epochs)
     good = F.lit(50) * (F.lit(capacity) - F.col("filled")) <= F.lit(capacity)
     again = _breed(_deal(first.filter(~good).select("uid", F.col("length").cast("long").alias("length")), shard, 1), capacity, islands, epochs)
     number = lambda step: ((F.col("shard") * 2 + step) * F.lit(1 << 24) + F.col("bin")).alias("sequence_id")

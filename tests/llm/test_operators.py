@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -191,16 +192,18 @@ def test_decontamination(spark, docs, corpus, empty, block):
     assert cut[48] == "  \t\nother" and cut[5] != corpus[5][1] and cut[44] == ""
 
 
-def test_ids_equal_the_library():
+def test_ids_equal_the_library(monkeypatch):
     files = packing.tokenizer_files()
     own = packing.Ids(**files)
     rng = random.Random(4)
     texts = ["", " ", "  a", "a  b\n c", "a \n b", "don't 've <|endoftext|> x", " <|endoftext|>", "\n\n a\t b", "a b 　c", "é ü  ß", "x" * 300, "tail ", "tail  ", "12 3.4  %% a", "\x1c a \x1c b", "a\x85 b"]
     texts += ["".join(rng.choice(["a", " ", "\n", "'s", "é", "1", "%", "  ", "\t", "b c"]) for _ in range(60)) for _ in range(300)]
-    for t in texts:
-        want = own.slow.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(own.of(t), "<u4").tolist() == want, repr(t)
-        assert np.frombuffer(own.of(t), "<u4").tolist() == want, repr(t)
+    texts += [" ".join(texts) * 40, "word " * 30_000 + "end"]
+    want = [own.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    for block in (packing.BLOCK, 2000):
+        monkeypatch.setattr(packing, "BLOCK", block)
+        for ids, wanted, t in zip(own.many(pa.array([*texts, None])), [*want, []], [*texts, None], strict=True):
+            assert ids.tolist() == wanted, repr(t)[:80]
 
 
 def test_packing(spark, docs, corpus, empty):
@@ -239,6 +242,46 @@ def test_genetic_steps_keep_all_pieces():
     for bins in (first, second, packing.crossover(sizes, first, second, 1024, rng), packing.mutate(sizes, first, 1024, rng), packing.evolve(sizes, [first], 1024, 1)):
         assert sorted(i for b in bins for i in b) == list(range(500)) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
     assert len(packing.evolve(sizes, [first, second], 1024, 1)) <= min(len(first), len(second))
+    assert packing.evolve([], [], 1024, 1) == [] and packing.lower_bound([], 1024) == 0
+
+
+def hard_sizes(kind, rng):
+    """Pieces that best-fit-decreasing does not pack as well as can be."""
+    if kind == "uniform":
+        return rng.integers(100, 700, 1000).tolist()
+    if kind == "wide":
+        return rng.integers(1, 1024, 1000).tolist()
+    out = []
+    for _ in range(80):  # triplets that fill a bin to the last place
+        a = int(rng.integers(389, 500))
+        b = int(rng.integers(256, (1024 - a) // 2 + 1))
+        out += [a, b, 1024 - a - b]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["uniform", "triplets"])
+def test_breeding_beats_best_fit_decreasing(kind):
+    sizes = hard_sizes(kind, np.random.default_rng(5))
+    plain = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], 1024)
+    bred = packing.evolve(sizes, [], 1024, 1)
+    assert packing.lower_bound(sizes, 1024) <= len(bred) < len(plain)
+
+
+def test_lower_bound():
+    assert packing.lower_bound([600, 600, 600], 1024) == 3 and packing.lower_bound([512, 512, 1], 1024) == 2 and packing.lower_bound([700, 400, 400], 1024) == 2
+    for kind in ("uniform", "wide", "triplets"):
+        sizes = hard_sizes(kind, np.random.default_rng(9))
+        assert -(-sum(sizes) // 1024) <= packing.lower_bound(sizes, 1024) <= len(packing.evolve(sizes, [], 1024, 2))
+
+
+def test_packing_beats_best_fit_decreasing(spark):
+    """The whole operator, on pieces where one pass of best-fit-decreasing stays above the bound."""
+    sizes = hard_sizes("uniform", np.random.default_rng(5))
+    table = spark.createDataFrame([(i, 0, 0, x, 0, i, None) for i, x in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, sequence_id long")
+    rows = packing.pack(table, 1024).collect()
+    assert sorted(r["length"] for r in rows) == sorted(sizes)
+    plain = packing.best_fit(sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], 1024)
+    assert len({r["sequence_id"] for r in rows}) < len(plain)
 
 
 def brute_statistics(text):
