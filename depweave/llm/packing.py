@@ -30,12 +30,14 @@ from depweave.llm.common import arrow_batch, discard, schema_of, stage
 CAPACITY, END_ID = 1024, 2
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 6, 24
 #: Text chunks whose ids a task keeps, and the bytes of text that it turns into ids at once.
-CACHE, BLOCK = 300_000, 4_000_000
+CACHE, BLOCK = 500_000, 6_000_000
 #: A bin of the other parent is well filled from GOOD of its capacity on; below LOOSE it is opened in the child.
 GOOD, LOOSE = 63 / 64, 7 / 8
 
 Bins = list[list[int]]
 _CUT = re.compile(r" (?=\S)")
+#: An empty word, or one that begins with white space.
+_OPEN = r"^(?:$|[\s\x0b\x1c-\x1f\x{85}\pZ])"
 
 
 class Ids:
@@ -52,7 +54,8 @@ class Ids:
 
         self.slow = Tokenizer.from_file(tokenizer)
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.fast, self.cache = None, {}
+        self.fast = None
+        self.words, self.starts, self.sizes, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         if ranks:
             import base64
 
@@ -61,14 +64,32 @@ class Ids:
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
-    def chunk(self, text: str) -> bytes:
-        """The ids of a chunk; short ones are kept until the store is full (frequent ones come early)."""
-        if (ids := self.cache.get(text)) is None:
-            ids = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-            if len(text) < 64 and len(self.cache) < CACHE:
-                self.cache[text] = ids
-        return ids
+            self.width = np.zeros(max(table.values()) + 1, np.int64)
+            for token, number in table.items():
+                self.width[number] = len(token)
+
+    def chunks(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of " " + word for distinct words, as starts and sizes in one array. New words are kept until the store is full."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = words.take(pa.array(fresh))
+        # one call for all new words: a space before a non-space always separates
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(new)], new), " ")[0].as_py()
+        ids = np.array(self.fast.encode_ordinary(" " + text if len(new) else ""), "<u4")
+        upto = np.cumsum(self.width[ids])
+        ends = np.searchsorted(upto, np.cumsum(pc.binary_length(new).to_numpy().astype(np.int64) + 1)) + 1
+        sizes = np.diff(ends, prepend=0)
+        flat, starts = np.concatenate([self.flat, ids]), len(self.flat) + ends - sizes
+        out_starts, out_sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        old = at >= 0
+        out_starts[old], out_sizes[old] = self.starts[at[old]], self.sizes[at[old]]
+        out_starts[fresh], out_sizes[fresh] = starts, sizes
+        keep = min(len(fresh), CACHE - len(self.words))
+        if keep:
+            self.words = pa.concat_arrays([self.words, new.slice(0, keep)])
+            self.starts, self.sizes = np.concatenate([self.starts, starts[:keep]]), np.concatenate([self.sizes, sizes[:keep]])
+            self.flat = flat[: len(self.flat) + int(ends[keep - 1])]
+        return out_starts, out_sizes, flat
 
     def of(self, text: str) -> np.ndarray:
         """The ids of one text."""
@@ -96,23 +117,26 @@ class Ids:
             return [self.of(t) for t in texts.to_pylist()]
         parts = pc.split_pattern(texts, " ")
         coded = parts.values.dictionary_encode()
-        words, codes, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
+        words, codes, ends = coded.dictionary, coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
         firsts = ends[:-1]
         # a space before another space, other white space or the end does not separate: such texts go whole
-        open_words = np.fromiter((not w or w[0].isspace() for w in words), bool, len(words))
+        open_words = pc.match_substring_regex(words, _OPEN).to_numpy(zero_copy_only=False)
         joined = open_words[codes]
         joined[firsts] = False
         whole = np.add.reduceat(joined, firsts, dtype=np.int64) > 0
         for s in self.special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        ids = [b"" if skip else self.chunk(" " + w) for w, skip in zip(words, open_words.tolist(), strict=True)]
-        ids += [self.chunk(words[c]) if words[c] else b"" for c in codes[firsts].tolist()]
+        closed = np.flatnonzero(~open_words)
+        starts, sizes = np.zeros(len(words) + len(firsts), np.int64), np.zeros(len(words) + len(firsts), np.int64)
+        starts[closed], sizes[closed], flat = self.chunks(words.take(pa.array(closed)))
+        heads = [self.fast.encode_ordinary(w) for w in words.take(pa.array(codes[firsts])).to_pylist()]
+        sizes[len(words) :] = list(map(len, heads))
+        starts[len(words) :] = len(flat) + np.cumsum(sizes[len(words) :]) - sizes[len(words) :]
+        flat = np.concatenate([flat, np.array([i for x in heads for i in x], "<u4")])
         codes[firsts] = len(words) + np.arange(len(firsts))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
         counts = sizes[codes]
         upto = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (upto - counts), counts) + np.arange(upto[-1])
+        places = np.repeat(starts[codes] - (upto - counts), counts) + np.arange(upto[-1])
         out = np.split(flat[places], upto[ends[1:-1] - 1])
         for i in np.flatnonzero(whole).tolist():
             out[i] = self.of(texts[i].as_py())
