@@ -2,11 +2,12 @@
 
 Two fingerprints that differ in at most 2 bits differ in at most 2 of their 8 bytes, so they share at least 6
 positional bytes: that is the guaranteed minimum of the count filter. The index keeps one posting list for every
-choice of 6 byte positions and their bytes (28 choices), which tallies shared positional bytes without listing the
-pairs that share fewer: two fingerprints meet in a list exactly if they reach the minimum. The members of a list
-differ in 2 bytes only, so a list of distinct fingerprints never has more than 65,536 entries, whatever the corpus
-holds. In each list the links (at most 2 differing bits, by XOR and bit count, or by a bit map of the 16 open bits in
-large lists) are verified and handed on as a spanning forest, so a group of n near copies costs n rows, not n * n.
+choice of 6 byte positions and their bytes (28 choices); two fingerprints meet in a list exactly if they reach the
+minimum, and no pair that shares fewer bytes is ever listed. Inside a list the shared positional bytes of each pair are
+tallied, pairs below the minimum are passed over, and the rest are verified bit by bit. The members of a list differ
+in 2 bytes only, so a list of distinct fingerprints never has more than 65,536 entries, whatever the corpus holds; in
+large lists the partners that keep the minimum are looked up instead (all ways to change at most 2 of the open bits).
+Links are handed on as a spanning forest, so a group of n near copies costs n rows, not n * n.
 """
 
 from __future__ import annotations
@@ -72,6 +73,11 @@ def _masks(bits: int) -> list[int]:
     return out
 
 
+def shared_bytes(many: np.ndarray, one: np.uint64) -> np.ndarray:
+    """The tally: how many of its 8 positional bytes each fingerprint shares with one."""
+    return ((many ^ one).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def list_links(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """A spanning forest, as (smaller, larger), of the links among distinct signed fingerprints of one posting list."""
     values = np.unique(values)
@@ -86,10 +92,12 @@ def list_links(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
     out, raw = [], values.view(np.uint64)
     if n <= 512:
         for i in range(n - 1):
-            for j in np.flatnonzero(np.bitwise_count(raw[i + 1 :] ^ raw[i]) <= bits).tolist():
-                if (a := find(i)) != (b := find(i + 1 + j)):
+            near = shared_bytes(raw[i + 1 :], raw[i]) >= 8 - bits
+            reached = np.flatnonzero(near) + i + 1
+            for j in reached[np.bitwise_count(raw[reached] ^ raw[i]) <= bits].tolist():
+                if (a := find(i)) != (b := find(j)):
                     parent[max(a, b)] = min(a, b)
-                    out.append((int(values[i]), int(values[i + 1 + j])))
+                    out.append((int(values[i]), int(values[j])))
         return out
     open_bits = int(np.bitwise_or.reduce(raw ^ raw[0]))
     places = [1 << i for i in range(64) if open_bits >> i & 1]
@@ -107,7 +115,8 @@ def list_links(values: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 def fingerprint_links(distinct_fps: DataFrame, bits: int = BITS) -> DataFrame:
     """fps(fp), distinct -> links(u, v) that connect all fingerprints at most `bits` apart."""
-    postings = distinct_fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks(bits))])).alias("p"))
+    parts = int(distinct_fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = distinct_fps.select("fp").repartition(parts, "fp").select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks(bits))])).alias("p"))
     lists = postings.groupBy("p.at", "p.bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
     schema = schema_of("u long, v long")
 

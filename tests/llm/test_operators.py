@@ -100,6 +100,13 @@ def test_posting_lists_large_and_small_agree():
     assert len(simhash.list_links(values, 2)) < size
 
 
+def test_tally_counts_shared_positional_bytes():
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(50)] + [0, (1 << 64) - 1]
+    got = simhash.shared_bytes(np.array(values, np.uint64), np.uint64(values[3]))
+    assert got.tolist() == [sum((v >> 8 * k & 255) == (values[3] >> 8 * k & 255) for k in range(8)) for v in values]
+
+
 def test_every_pair_within_two_bits_meets():
     masks = [m & (1 << 64) - 1 for m in simhash._masks(2)]
     rng = random.Random(2)
