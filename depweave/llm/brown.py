@@ -1,136 +1,211 @@
 """LM scoring by a class-based n-gram model: exchange clustering, class transitions and word emissions.
 
-All counts come from the whole training part of the corpus. Every training word belongs to a class: the most frequent
-words are items of the clustering by themselves, all other words (also words never seen) form one item for each value
-of a hash of their ending. The bigram counts of the items, over all training texts, are what the exchange algorithm
-sees: it moves one item at a time to the class that raises the likelihood of the class bigrams most, until no move
-helps. A word's probability is P(class | class before) * P(word | class), both with additive smoothing.
-The number of items is a parameter of the model, so what reaches the driver has a fixed bound; the vocabulary and its
-counts stay a table in the shared folder and meet the texts in a join.
+All counts come from the whole training part of the corpus, and every training word is put into a class by exchange:
+
+* The most frequent words, and one item for each value of a hash of the ending of all other words, are clustered by the
+  sequential exchange algorithm on their bigram counts: one item at a time moves to the class that raises the likelihood
+  of the class bigrams most, until no move helps. The number of these items is a parameter, so what reaches the driver
+  is bounded.
+* Every other training word then starts in the class of its ending and is moved, in one distributed sweep over its own
+  counts by class of the word before, to the class that raises the likelihood of its occurrences most. The table of
+  words, counts and classes grows with the corpus and stays in the shared folder.
+
+A word's probability is P(class | context) * P(word | class), both with additive smoothing. The context is the class of
+the word before: its own, if it is one of the most frequent words, else that of its ending (this is what a task knows
+without the table). A word that the training part does not hold is emitted by the class of its ending.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import LOWER, arrow_batch, crc_remainder, schema_of, stage
+from depweave.llm.common import arrow_batch, crc_remainder, discard, schema_of, stage
 
-#: Items of their own in the clustering; endings; classes; words whose counts are sent to every task.
+#: Words that are items of the sequential exchange; endings; classes; words whose counts are sent to every task.
 ITEMS, ENDINGS, CLASSES, HEAD = 1_000, 255, 48, 65_536
 SWEEPS, DELTA, SEED = 8, 0.1, 42
 HOLD_OUT_MODULUS, HOLD_OUT = 10, 0
-#: Distinct words that a task counts, and rows that it makes, before it hands them on.
-FLUSH, ROWS = 200_000, 50_000
+#: Bytes of text that a task takes apart at once, and counts that it holds before it hands them on.
+BLOCK, FLUSH = 6_000_000, 1_000_000
 
 
-def tokens(data: bytes | None) -> list[bytes]:
-    return (data or b"").translate(LOWER).split()
+def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts (null: empty) of bounded size, with the place of their first; one text is never divided."""
+    texts = pc.fill_null(texts, "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+        yield at, pa.concat_arrays([texts.slice(at, end - at)])
+        at = end
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the code of each token, and the number of tokens of each text."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found = parts.values.dictionary_encode()
+    words, codes, ends = found.dictionary, found.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
+    real = (pc.binary_length(words).to_numpy() > 0)[codes]  # white space at an end of a text leaves an empty part
+    sizes = np.add.reduceat(real, ends[:-1], dtype=np.int64) if len(codes) else np.zeros(len(texts), np.int64)
+    return words, codes[real], sizes
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, n long) over all rows of texts(data); tasks count before the shuffle."""
-    schema = schema_of("word binary, n long")
+def endings(words: pa.Array) -> np.ndarray:
+    """The hash of each word's last three bytes."""
+    last = pc.binary_slice(words.cast(pa.binary()), -3).dictionary_encode()
+    hashed = np.array([zlib.crc32(x) % ENDINGS for x in last.dictionary.to_pylist()], np.int64)
+    return hashed[last.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return arrow_batch({"word": list(found.keys()), "n": list(found.values())}, schema)
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n long) over all rows of texts(text); tasks count before the shuffle."""
+    schema = schema_of("word string, n long")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                found.update(tokens(data))
-                if len(found) >= FLUSH:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+            for _, block in blocks(batch.column(0)):
+                words, codes, _ = coded(block)
+                n = np.bincount(codes, minlength=len(words))
+                some = np.flatnonzero(n)
+                yield arrow_batch({"word": words.take(pa.array(some)), "n": pa.array(n[some])}, schema)
 
-    return texts.select("data").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(vocabulary: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words of the highest counts, no more than `most`, cut between two steps of the count so that ties stay together."""
+def frequent(vocabulary: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The `most` words of the highest counts; among equal steps of the count (64 to a doubling), those of the least hash."""
     step = F.floor(F.log2("n") * 64)
     levels = sorted(((r["s"], r["k"]) for r in vocabulary.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    total, least = 0, None
+    total, least, rows = 0, None, []
     for s, k in levels:
         if total + k > most:
+            cut = vocabulary.filter(step == s).orderBy(F.xxhash64("word", F.lit(SEED)), "word").limit(most - total)
+            rows += cut.collect()
             break
         total, least = total + k, s
-    if least is None:
-        return []
-    rows = vocabulary.filter(step >= least).collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    if least is not None:
+        rows += vocabulary.filter(step >= least).collect()
+    return sorted(((r["word"], r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass
 class Items:
-    """Words of the head by number, and the clustering item of every word. Item 0 is the border of a text."""
+    """The words of the head, and the item of every word: own + 1 of them by themselves (0 is a text's border), else by ending."""
 
-    number: dict[bytes, int]
+    words: pa.Array
     count: np.ndarray
     item: np.ndarray
     own: int
 
     @classmethod
-    def of(cls, head: list[tuple[bytes, int]], items: int) -> Items:
-        own = min(items, len(head))
-        item = np.array([1 + i if i < own else 1 + own + ending(w) for i, (w, _) in enumerate(head)], np.int64)
-        return cls({w: i for i, (w, _) in enumerate(head)}, np.array([n for _, n in head], np.int64), item, own)
+    def of(cls, head: list[tuple[str, int]], items: int) -> Items:
+        words, own = pa.array([w for w, _ in head], pa.string()), min(items, len(head))
+        item = np.concatenate([1 + np.arange(own), 1 + own + endings(words.slice(own))])
+        return cls(words, np.array([n for _, n in head], np.int64), item.astype(np.int64), own)
 
     @property
     def size(self) -> int:
         return 1 + self.own + ENDINGS
 
-    def rest(self, word: bytes) -> int:
-        return 1 + self.own + ending(word)
-
-    def sequence(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Head numbers (-1 outside the head) and items of words."""
-        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        out = self.item[ids] if len(self.item) else np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(ids < 0).tolist():
-            out[i] = self.rest(words[i])
-        return ids, out
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        item = 1 + self.own + endings(words)
+        inside = at >= 0
+        item[inside] = self.item[at[inside]]
+        return at, item
+
 
+def before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each token and then each end of some texts: the value of the token before it, 0 at the start of a text."""
+    ends = np.cumsum(sizes)
+    shifted = np.concatenate([[0], values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    starts = (ends - sizes)[sizes > 0]
+    shifted[starts] = 0
+    last = np.zeros(len(sizes), np.int64)
+    last[sizes > 0] = values[ends[sizes > 0] - 1]
+    return np.concatenate([shifted, last])
 
-def bigram_counts(texts: DataFrame, items: Items) -> np.ndarray:
-    """Counts of item pairs over all texts, each with a border before and after; (size, size)."""
-    size, schema = items.size, schema_of("cell int, n long")
+
+#: The place of the end of a text among the keys of the head's words.
+END = -1
+
+
+def context_counts(texts: DataFrame, items: Items) -> tuple[DataFrame, DataFrame]:
+    """How often each word follows each item, over all texts, in one pass.
+
+    Gives cells(key, left, n), where key is a word of the head, END or len(head) + an ending (all words outside the
+    head together), and found, whose rows with a word are (word, left, n) outside the head. Both are staged.
+    """
+    size, heads = items.size, len(items.words)
+    schema = schema_of("word string, key int, left int, n long")
     sent = texts.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = sent.value, np.zeros(size * size, np.int64)
+        own, held, count = sent.value, [], 0
+
+        def cells() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+            n = np.bincount(n, weights=np.concatenate([n for _, n in held]), minlength=len(pairs)).astype(np.int64)
+            return arrow_batch({"word": pa.nulls(len(pairs), pa.string()), "key": pa.array(pairs // size - 1), "left": pa.array(pairs % size), "n": pa.array(n)}, schema)
+
+        for batch in batches:
+            for _, block in blocks(batch.column(0)):
+                words, codes, sizes = coded(block)
+                at, item = own.look_up(words)
+                left = before(item[codes], sizes)
+                key = np.where(at >= 0, at, heads + item - 1 - own.own)
+                pairs = (np.concatenate([key[codes], np.full(len(sizes), END)]) + 1) * size + left
+                held.append(np.unique(pairs, return_counts=True))
+                count += len(held[-1][0])
+                rare = np.flatnonzero(at[codes] < 0)
+                pairs, n = np.unique(codes[rare] * size + left[rare], return_counts=True)
+                yield arrow_batch({"word": words.take(pa.array(pairs // size)), "key": pa.nulls(len(pairs), pa.int32()), "left": pa.array(pairs % size), "n": pa.array(n)}, schema)
+                if count >= FLUSH:
+                    yield cells()
+                    held.clear()
+                    count = 0
+        if held:
+            yield cells()
+
+    found = stage(texts.select("text").mapInArrow(run, schema), "brown-contexts")
+    cells = stage(found.filter("key is not null").groupBy("key", "left").agg(F.sum("n").alias("n")), "brown-cells")
+    return cells, found
+
+
+def _sums(table: DataFrame, width: int, place) -> np.ndarray:
+    """The counts of a staged table of (key, left, n), added up by place(keys, lefts) in an array of that width."""
+    schema = schema_of("cell int, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
         for batch in batches:
-            parts = []
-            for data in batch.column(0).to_pylist():
-                _, seq = own.sequence(tokens(data))
-                parts += [[0], seq]
-            if parts:
-                seq = np.concatenate([*parts, [0]])
-                total += np.bincount(seq[:-1] * size + seq[1:], minlength=size * size)
-        cells = np.flatnonzero(total)
-        yield arrow_batch({"cell": pa.array(cells), "n": pa.array(total[cells])}, schema)
-
-    table = texts.select("data").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, np.int64)
-    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(size, size)
+            key, left, n = (batch.column(i).to_numpy() for i in range(3))
+            cell = place(key.astype(np.int64), left.astype(np.int64))
+            total += np.bincount(cell[cell >= 0], weights=n[cell >= 0], minlength=width).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield arrow_batch({"cell": pa.array(some), "n": pa.array(total[some])}, schema)
+
+    found = table.select("key", "left", "n").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(width, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def bigram_counts(cells: DataFrame, items: Items) -> np.ndarray:
+    """Counts of item pairs, (size, size): [before, after]."""
+    size = items.size
+    of_key = np.concatenate([[0], items.item, 1 + items.own + np.arange(ENDINGS)])
+    return _sums(cells, size * size, lambda key, left: left * size + of_key[key + 1]).reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -187,12 +262,82 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarr
     return of
 
 
+def best_classes(lefts: np.ndarray, transition: np.ndarray, emission: np.ndarray) -> np.ndarray:
+    """One exchange step for words with such counts by class before them: the class under which their occurrences are likeliest."""
+    gain = lefts @ transition[:, 1:] - lefts.sum(1, keepdims=True) * emission[None, 1:]
+    return gain.argmax(1) + 1
+
+
+def assign_rest(rest: DataFrame, of: np.ndarray, transition: np.ndarray, emission: np.ndarray, sweep: bool, first_ending: int) -> DataFrame:
+    """Staged (word, n, class, at, c) of the words outside the head: their class and their counts by class before them.
+
+    Without `sweep` they stay in the class of their ending.
+    """
+    k = len(transition)
+    schema = schema_of("word string, n long, class int, at array<int>, c array<long>")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def out(words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        own = best_classes(counts, transition, emission) if sweep else of[first_ending + endings(words)]
+        rows, at = np.nonzero(counts)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(counts)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at.astype(np.int32), counts[rows, at].astype(np.int64))]
+        return arrow_batch({"word": words, "n": pa.array(counts.sum(1).astype(np.int64)), "class": pa.array(own), "at": lists[0], "c": lists[1]}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_word, open_counts = None, np.zeros(k)
+        for batch in batches:
+            if not len(batch):
+                continue
+            words, left, n = batch.column(0), of[batch.column(1).to_numpy()], batch.column(2).to_numpy()
+            fresh = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            counts = np.bincount(group * k + left, weights=n, minlength=len(first) * k).reshape(-1, k)
+            names = words.take(pa.array(first))
+            if open_word is not None:
+                if names[0].as_py() == open_word:
+                    counts[0] += open_counts
+                else:
+                    yield out(pa.array([open_word]), open_counts[None, :])
+            open_word, open_counts = names[-1].as_py(), counts[-1]
+            if len(first) > 1:
+                yield out(names.slice(0, len(first) - 1), counts[:-1])
+        if open_word is not None:
+            yield out(pa.array([open_word]), open_counts[None, :])
+
+    return stage(rest.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, schema), "brown-rest")
+
+
+def _rest_sums(rest: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class pairs (before, own) and distinct words by class of the words outside the head."""
+    schema = schema_of("cell int, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k + k, np.int64)
+        for batch in batches:
+            own, at, c = batch.column(0).to_numpy().astype(np.int64), batch.column(1), batch.column(2)
+            many = np.diff(at.offsets.to_numpy())
+            cells = at.flatten().to_numpy().astype(np.int64) * k + np.repeat(own, many)
+            total[: k * k] += np.bincount(cells, weights=c.flatten().to_numpy(), minlength=k * k).astype(np.int64)
+            total[k * k :] += np.bincount(own, minlength=k)
+        some = np.flatnonzero(total)
+        yield arrow_batch({"cell": pa.array(some), "n": pa.array(total[some])}, schema)
+
+    out = np.zeros(k * k + k, np.int64)
+    for r in rest.select("class", "at", "c").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out[: k * k].reshape(k, k), out[k * k :]
+
+
 @dataclass
 class Model:
-    """What scoring needs besides the vocabulary table."""
+    """What scoring needs besides the table of the words outside the head."""
 
     items: Items
+    #: By item: the class of the context. By word of the head: its own class.
+    context: np.ndarray
     classes: np.ndarray
+    #: log10 P(class | context), (k, k).
     transition: np.ndarray
     #: By class: log10 of the emission denominator.
     emission: np.ndarray
@@ -205,105 +350,107 @@ class Model:
         return float(np.log10(self.train_tokens + DELTA * (self.vocabulary_size + 1)))
 
 
-def fit(texts: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """A model of texts(data binary), and its staged vocabulary (word, n)."""
+def _log_model(pair: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k = len(pair)
+    transition = np.log10(pair + DELTA) - np.log10(pair.sum(1, keepdims=True) + DELTA * k)
+    return transition, np.log10(pair.sum(0) + DELTA * (kinds + 1))
+
+
+def fit(texts: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head: int = HEAD, sweep: bool = True) -> tuple[Model, DataFrame]:
+    """A model of texts(text), and the staged table (word, n, class) of the training words outside the head.
+
+    Without `sweep`, words that are no items of the sequential exchange keep the class of their ending.
+    """
     vocabulary = stage(word_counts(texts), "brown-vocabulary")
     ends = texts.count()
     total = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     items = Items.of(frequent(vocabulary, head), item_count)
-    counts = bigram_counts(texts, items)
+    discard(vocabulary)
+    cells, found = context_counts(texts, items)
+    counts = bigram_counts(cells, items)
     of = exchange(counts, classes)
-    k = classes + 1
+    k, heads, own = classes + 1, len(items.words), items.own
     one = np.zeros((items.size, k))
     one[np.arange(items.size), of] = 1
-    pair = one.T @ counts @ one
-    transition = np.log10(pair + DELTA) - np.log10(pair.sum(1, keepdims=True) + DELTA * k)
-    mass, kinds = _class_sizes(vocabulary, items, of, k)
-    emission = np.log10(mass + DELTA * (kinds + 1))
-    return Model(items, of, transition, emission, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends), vocabulary
-
-
-def _class_sizes(vocabulary: DataFrame, items: Items, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct training words by class; the border's class emits nothing but itself."""
-    sent = vocabulary.sparkSession.sparkContext.broadcast((items, of))
-    schema = schema_of("c int, n long, v long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes = sent.value
-        for batch in batches:
-            _, seq = own.sequence(batch.column(0).to_pylist())
-            c = classes[seq]
-            n = np.bincount(c, weights=batch.column(1).to_numpy().astype(float), minlength=k)
-            yield arrow_batch({"c": list(range(k)), "n": n.astype(np.int64), "v": np.bincount(c, minlength=k)}, schema)
-
-    mass, kinds = np.zeros(k), np.zeros(k)
-    for r in vocabulary.select("word", "n").mapInArrow(run, schema).groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        mass[r["c"]], kinds[r["c"]] = r["n"], r["v"]
-    return mass, kinds
-
-
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
+    # the class of each item, and distinct words by class, before the sweep
+    kinds = np.bincount(of[items.item], minlength=k) if heads else np.zeros(k)
+    transition, emission = _log_model(one.T @ counts @ one, kinds)
+    # words of the head: counts by class before them
+    width = heads + 1
+    lefts = _sums(cells, width * k, lambda key, left: np.where(key < heads, (key + 1) * k + of[left], -1)).reshape(width, k)
+    own_class = of[items.item] if heads else np.zeros(0, np.int64)
+    if sweep and heads > own:
+        own_class = np.concatenate([own_class[:own], best_classes(lefts[own + 1 :].astype(float), transition, emission)])
+    table = assign_rest(found.filter("word is not null").select("word", "left", "n"), of, transition, emission, sweep, 1 + own)
+    pair, kinds = _rest_sums(table, k)
+    pair, kinds = pair.astype(float), kinds + np.bincount(own_class, minlength=k)
+    pair[:, 0] += lefts[0]
+    np.add.at(pair.T, own_class, lefts[1:])
+    transition, emission = _log_model(pair, kinds)
+    discard(cells)
+    discard(found)
+    return Model(items, of, own_class, transition, emission, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends), table.select("word", "n", "class")
+
+
+def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score (sums of log10 probabilities).
 
-    Words of the head are scored where the text is read. Other words go, counted by text, to a join with the
-    vocabulary; frequent words never do, so no key of that join is hot. Null text is empty: its end alone is scored.
+    Words of the head are scored where the text is read. Each other token goes, with its context, to a join with the
+    table of words; frequent words never do, so no key of that join is hot. Null text is empty: its end alone is scored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = schema_of("uid long, doc_id long, word binary, tf long, class int, tokens long, known long, base double, own double")
+    schema = schema_of("uid long, doc_id long, word string, context int, ending int, tokens long, known long, base double, own double")
+    k = len(model.transition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         uid = TaskContext.get().partitionId() << 36
         base_log = np.log10(m.items.count + DELTA) - m.base_floor
-        own_log = np.log10(m.items.count + DELTA) - m.emission[m.classes[m.items.item]] if len(m.items.item) else base_log
+        own_log = np.log10(m.items.count + DELTA) - m.emission[m.classes]
         end_known, end_log = int(m.ends > 0), float(np.log10(m.ends + DELTA)) - m.base_floor
-        out: dict[str, list] = {name: [] for name in schema.fieldNames()}
         for batch in batches:
-            for doc, data in zip(batch.column(0), batch.column(1), strict=True):
-                doc, data = doc.as_py(), data.as_py()
-                uid += 1
-                words = tokens(data)
-                ids, seq = m.items.sequence(words)
-                path = np.concatenate([[0], m.classes[seq], [0]])
-                known = ids >= 0
-                head = ids[known]
-                base = float(base_log[head].sum()) + end_log
-                own = float(m.transition[path[:-1], path[1:]].sum()) + float(own_log[head].sum())
-                rare = Counter(words[i] for i in np.flatnonzero(~known).tolist())
-                rows = len(rare) + 1
-                out["uid"] += [uid] * rows
-                out["doc_id"] += [doc] * rows
-                out["word"] += [b" %d" % uid, *rare]  # no word begins with a space: this row of the text itself matches nothing
-                out["tf"] += [0, *rare.values()]
-                out["class"] += [0, *(int(m.classes[m.items.rest(w)]) for w in rare)]
-                out["tokens"] += [len(words) + 1, *[0] * len(rare)]
-                out["known"] += [len(head) + end_known, *[0] * len(rare)]
-                out["base"] += [base, *[0.0] * len(rare)]
-                out["own"] += [own, *[0.0] * len(rare)]
-                if len(out["uid"]) >= ROWS:
-                    yield arrow_batch(out, schema)
-                    out = {name: [] for name in schema.fieldNames()}
-        yield arrow_batch(out, schema)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema)
-    met = rows.join(vocabulary.select("word", "n"), "word", "left")
-    term = F.log10(F.coalesce("n", F.lit(0)) + F.lit(DELTA))
-    floor = F.element_at(F.array(*[F.lit(float(x)) for x in model.emission]), F.col("class") + 1)
+            ids = batch.column(0)
+            for first, block in blocks(batch.column(1)):
+                words, codes, sizes = coded(block)
+                docs_here, at, item = np.repeat(np.arange(len(sizes)), sizes), *m.items.look_up(words)
+                context = before(m.context[item[codes]], sizes)
+                at_token = at[codes]
+                known = at_token >= 0
+                some, heads = docs_here[known], at_token[known]
+                add = lambda values: np.bincount(some, weights=values, minlength=len(sizes))
+                own = add(m.transition[context[: len(codes)][known], m.classes[heads]] + own_log[heads]) + m.transition[context[len(codes) :], 0]
+                base = add(base_log[heads]) + end_log
+                uids = uid + 1 + np.arange(len(sizes))
+                uid += len(sizes)
+                many = len(sizes)
+                # no word begins with a space: the row of the text itself matches nothing
+                yield arrow_batch({"uid": pa.array(uids), "doc_id": ids.slice(first, many), "word": pc.binary_join_element_wise("", pc.cast(pa.array(uids), pa.string()), " "), "context": pa.nulls(many, pa.int32()), "ending": pa.nulls(many, pa.int32()), "tokens": pa.array(sizes + 1), "known": pa.array(add(None).astype(np.int64) + end_known), "base": pa.array(base), "own": pa.array(own)}, schema)
+                rare = np.flatnonzero(~known)
+                many = len(rare)
+                nothing, zero = pa.nulls(many, pa.int64()), pa.array(np.zeros(many))
+                yield arrow_batch({"uid": pa.array(uids[docs_here[rare]]), "doc_id": nothing, "word": words.take(pa.array(codes[rare])), "context": pa.array(context[rare]), "ending": pa.array(m.context[item[codes[rare]]]), "tokens": pa.array(np.zeros(many, np.int64)), "known": pa.array(np.zeros(many, np.int64)), "base": zero, "own": zero}, schema)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    met = rows.join(table, "word", "left")
+    count = F.log10(F.coalesce("n", F.lit(0)) + F.lit(DELTA))
+    own = F.coalesce("class", "ending")
+    at = lambda values, place: F.element_at(F.array(*[F.lit(float(x)) for x in values]), (place + 1).cast("int"))
+    is_token = F.col("context").isNotNull()
     return met.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"),
+        F.max("doc_id").alias("doc_id"),
         F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(F.lit(0))).alias("n_known"),
+        F.sum(F.col("known") + F.when(F.col("n").isNotNull(), 1).otherwise(0)).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        F.sum(F.col("base") + F.col("tf") * (term - F.lit(model.base_floor))).alias("base_score"),
-        F.sum(F.col("own") + F.col("tf") * (term - floor)).alias("score"),
+        F.sum(F.col("base") + F.when(is_token, count - F.lit(model.base_floor)).otherwise(F.lit(0.0))).alias("base_score"),
+        F.sum(F.col("own") + F.when(is_token, at(model.transition.ravel(), F.col("context") * k + own) + count - at(model.emission, own)).otherwise(F.lit(0.0))).alias("score"),
     ).drop("uid")
 
 
-def score_documents(docs: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head: int = HEAD, sweep: bool = True) -> DataFrame:
     """Learn from the documents outside the hold-out and score all of docs(doc_id, text), row by row.
 
     Rows with a null id are training rows. Without training rows every count is zero and scores stay finite.
     """
     held = crc_remainder(F.col("doc_id"), HOLD_OUT_MODULUS) == HOLD_OUT
-    model, vocabulary = fit(docs.filter(~held).select(F.col("text").cast("binary").alias("data")), item_count, classes, head)
-    return score(docs, model, vocabulary).withColumn("held_out", held)
+    model, table = fit(docs.filter(~held).select(F.col("text").cast("string").alias("text")), item_count, classes, head, sweep)
+    return score(docs, model, table).withColumn("held_out", held)

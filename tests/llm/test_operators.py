@@ -390,26 +390,64 @@ def test_language_model(docs, corpus, empty):
     assert brown.score_documents(empty).count() == 0
 
 
-def test_class_model_is_a_distribution_and_scores_by_it(spark):
-    rng = random.Random(6)
-    nouns, verbs = [f"n{i}" for i in range(8)], [f"v{i}" for i in range(8)]
-    texts = [" ".join(rng.choice(nouns if k % 2 else verbs) for k in range(60)) for _ in range(80)]
-    data = spark.createDataFrame([(t.encode(),) for t in texts], "data binary")
-    model, vocabulary = brown.fit(data, item_count=16, classes=2, head=16)
-    of = {w: int(model.classes[model.items.item[k]]) for w, k in model.items.number.items()}
-    assert len({of[x.encode()] for x in nouns}) == 1 and len({of[x.encode()] for x in verbs}) == 1 and of[b"n0"] != of[b"v0"]
+def two_classes(rng, most=40, nouns=8, verbs=8):
+    return [" ".join(f"n{rng.randrange(nouns)}x{k % 3}" if k % 2 else f"v{rng.randrange(verbs)}y{k % 3}" for k in range(most)) for _ in range(80)]
+
+
+@pytest.mark.parametrize("head,items", [(400, 400), (60, 12), (12, 12), (0, 0)])
+def test_class_model_is_a_distribution_and_scores_by_it(spark, head, items):
+    """Every training word, in the head or not, has a class; probabilities add up to one; scores follow the definition."""
+    texts = two_classes(random.Random(6), nouns=20, verbs=20)
+    model, table = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"), item_count=items, classes=3, head=head)
+    counts = {}
+    for t in texts:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    of = {w.as_py(): int(c) for w, c in zip(model.items.words, model.classes, strict=True)}
+    rest = {r["word"]: r for r in table.collect()}
+    assert {w: r["n"] for w, r in rest.items()} == {w: n for w, n in counts.items() if w not in of} and len(of) == min(head, len(counts))
+    of |= {w: r["class"] for w, r in rest.items()}
     assert np.allclose((10**model.transition).sum(1), 1)
-    text = "v1 n2 v3 new"
-    row = brown.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, vocabulary).first()
-    counts = {bytes(r["word"]): r["n"] for r in vocabulary.collect()}
-    total, before = 0.0, 0
-    for w in [x.encode() for x in text.split()]:
-        c = of[w] if w in of else int(model.classes[model.items.rest(w)])
-        total += model.transition[before, c] + np.log10(counts.get(w, 0) + 0.1) - model.emission[c]
-        before = c
-    assert row["score"] == pytest.approx(total + model.transition[before, 0])
-    plain = brown.score(spark.createDataFrame([(1, "v1 n1 v2 n2 v3 n3")], "doc_id long, text string"), model, vocabulary).first()
-    assert plain["score"] > plain["base_score"]
+    for c in set(of.values()):  # known words of a class, and one unknown, share its mass
+        own = [n for w, n in counts.items() if of[w] == c]
+        assert np.log10(sum(own) + brown.DELTA * (len(own) + 1)) == pytest.approx(model.emission[c])
+
+    def item(w):
+        at, found = model.items.look_up(pa.array([w]))
+        return int(found[0])
+
+    for text in ("v1y0 n2x1 v3y2 new", "N2X1 v1y0\tnew2  n3x2", ""):
+        total, ctx = 0.0, 0
+        for w in words(text):
+            c = of.get(w, int(model.context[item(w)]))
+            total += model.transition[ctx, c] + np.log10(counts.get(w, 0) + 0.1) - model.emission[c]
+            ctx = int(model.context[item(w)])
+        row = brown.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, table).first()
+        assert row["score"] == pytest.approx(total + model.transition[ctx, 0])
+
+
+def test_rare_words_move_to_their_class(spark):
+    """Words outside the items, whose ending says nothing, end in the class of their neighbours; the held-out score gains by it."""
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["the", "a"]) + f" n{rng.randrange(150)}z " + rng.choice(["we", "they"]) + f" v{rng.randrange(150)}z" for _ in range(12))
+    docs = spark.createDataFrame([(i, line()) for i in range(200)], "doc_id long, text string")
+    train = docs.select("text")
+    gained = []
+    for sweep in (False, True):
+        model, table = brown.fit(train, item_count=4, classes=4, head=20, sweep=sweep)
+        rows = brown.score_documents(docs, item_count=4, classes=4, head=20, sweep=sweep).filter("held_out").collect()
+        gained.append(sum(r["score"] for r in rows))
+        assert gained[-1] > sum(r["base_score"] for r in rows)
+    found = {r["word"]: r["class"] for r in table.collect()}
+    nouns, verbs = ({c for w, c in found.items() if w[0] == x} for x in "nv")
+    assert len(nouns) == 1 and len(verbs) == 1 and nouns != verbs
+    assert gained[1] > gained[0] + 50
+
+
+def test_frequent_words_with_flat_counts(spark):
+    table = spark.createDataFrame([(f"w{i}", 3) for i in range(50)] + [("top", 9)], "word string, n long")
+    assert len(brown.frequent(table, 20)) == 20 and brown.frequent(table, 20)[0] == ("top", 9)
+    assert brown.frequent(table, 20) == brown.frequent(table.repartition(3), 20) and len(brown.frequent(table, 100)) == 51 and brown.frequent(table.limit(0), 5) == []
 
 
 def test_exchange_raises_likelihood():
