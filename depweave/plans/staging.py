@@ -15,9 +15,16 @@ KERNEL_EDGES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which the driver and all executors see; a temporary one where the session has none."""
+    """spark.checkpoint.dir, which the driver and all executors see.
+
+    A session without one gets a temporary folder if it runs on one machine (local mode); on a cluster that would be
+    another disk on each machine, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="depweave-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -32,12 +39,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
 
 
 def fits_kernel(edges: DataFrame, limit: int = KERNEL_EDGES) -> bool:
