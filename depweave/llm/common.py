@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depweave.plans.staging import discard, shared_folder, stage  # noqa: F401
+from depweave.plans.staging import discard, remove, shared_folder, stage  # noqa: F401
 
 
 #: A-Z to a-z, every other byte as it is (also the bytes of other UTF-8 letters).

@@ -1,14 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The keys of all lines kept so far live in runs: tables of (hash, owning document), sorted by hash, no key in two
-runs. A batch of documents is reduced to its distinct (key, least document) pairs, merge-anti-joined with the runs, and
-what is new becomes a run of level 0. When a level holds `fanout` runs they are merged into one run of the next level,
-so that a corpus of many batches reads few runs. Batches are ranges of rising doc_id, so the first owner of a key is
-its smallest document. Runs are written to the shared folder; a lost executor repeats at most the batch in hand.
+The keys of all lines kept so far live in runs: tables of (hash, owning document), bucketed and sorted by hash, no key
+in two runs. A batch of documents is reduced to its distinct (key, least document) pairs in one shuffle whose partitions
+are the buckets, merge-anti-joined with the runs as they lie, and what is new becomes a run of level 0. When a level
+holds `fanout` runs they are merged into one run of the next level, bucket by bucket and without a shuffle, so that a
+corpus of many batches reads few runs. Batches are ranges of rising doc_id, so the first owner of a key is its smallest
+document. Runs are written to the shared folder; a lost executor repeats at most the batch in hand.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm.common import LOWER, arrow_batch, discard, schema_of, stage, unused
+from depweave.llm.common import LOWER, arrow_batch, remove, schema_of, stage, staged_path, unused
 
 MIN_CHARS, BATCHES, FANOUT = 10, 4, 2
 NO_ID = (1 << 63) - 1
@@ -52,41 +54,72 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("doc", "data").mapInArrow(run, schema)
 
 
+#: With it, Spark takes a bucket of one file as sorted and does not sort it again.
+_SORTED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """The levelled runs. Their tables are (h1, h2, owner); no key is in two runs."""
+    """The levelled runs. Their tables are (h1, h2, owner); no key is in two runs. Call close() when they are not needed any more."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.sorted_before = spark.conf.get(_SORTED_SCAN, None)
+        spark.conf.set(_SORTED_SCAN, "true")
+        self.paths: dict[str, str] = {}
+
+    def names(self) -> list[str]:
+        return [x for level in self.levels for x in level]
 
     def table(self) -> DataFrame:
-        runs = [x for level in self.levels for x in level]
-        empty = self.spark.createDataFrame([], "h1 long, h2 long, owner long")
-        out = runs[0] if runs else empty
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
+        """All runs as plain rows: a join with a hot key may then be split, which buckets would not allow."""
+        paths = [self.paths[x] for x in self.names()]
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*paths) if paths else self.spark.createDataFrame([], "h1 long, h2 long, owner long")
 
     def add(self, pairs: DataFrame) -> None:
         """Take in a batch of (doc, h1, h2) whose documents follow all earlier ones."""
         owners = pairs.groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
-        if any(self.levels):
-            owners = owners.join(self.table().select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._put(0, stage(owners.sortWithinPartitions("h1", "h2"), "line-run"))
+        for run in self.names():
+            owners = owners.join(self.spark.table(run).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        self._put(0, self._write(owners))
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = staged_path(self.spark, name)
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table {name}")
+        remove(self.spark, self.paths.pop(name))
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = old[0]
-            for x in old[1:]:
-                merged = merged.unionByName(x)
-            parts = max(x.rdd.getNumPartitions() for x in old)
-            merged = stage(merged.repartitionByRange(max(parts, 1), "h1", "h2").sortWithinPartitions("h1", "h2"), "line-run")
+            merged = self.spark.table(old[0])
+            for x in old[1:]:  # no key is in both: the full outer merge join interleaves two sorted runs
+                other = self.spark.table(x).withColumnRenamed("owner", "other").hint("merge")
+                merged = merged.join(other, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "other").alias("owner"))
+            new = self._write(merged)
             for x in old:
-                discard(x)
-            self._put(level + 1, merged)
+                self._drop(x)
+            self._put(level + 1, new)
+
+    def close(self, keep: bool = False) -> None:
+        """Forget the runs' names, and with `keep` leave their files; the session's setting is put back."""
+        for name in self.names():
+            if keep:
+                self.spark.sql(f"drop table {name}")
+            else:
+                self._drop(name)
+        self.levels = []
+        if self.sorted_before is None:
+            self.spark.conf.unset(_SORTED_SCAN)
+        else:
+            self.spark.conf.set(_SORTED_SCAN, self.sorted_before)
 
 
 def batch_bounds(pairs: DataFrame, batches: int) -> list[int]:
@@ -105,18 +138,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     line and comes out empty; rows that share a doc_id count as one document; a null doc_id counts as the largest.
     Kept lines are joined by \\n. Other columns pass through, also an earlier n_lines or n_dropped (then replaced).
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     own, drop = unused(docs, "__doc"), unused(docs, "__drops")
     rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(own))
     pairs = stage(line_pairs(rows.select(F.col(own).alias("doc"), F.col("text").cast("binary").alias("data")), min_chars), "line-pairs")
     runs = LineRuns(docs.sparkSession, fanout)
-    cuts = batch_bounds(pairs, batches)
-    low = None
-    for high in [*cuts, None]:
-        batch = pairs if low is None else pairs.filter(F.col("doc") > low)
-        runs.add(batch if high is None else batch.filter(F.col("doc") <= high))
-        low = high
-    late = pairs.join(runs.table(), ["h1", "h2"]).filter("owner < doc")
+    try:
+        low = None
+        for high in [*batch_bounds(pairs, batches), None]:
+            batch = pairs if low is None else pairs.filter(F.col("doc") > low)
+            runs.add(batch if high is None else batch.filter(F.col("doc") <= high))
+            low = high
+        owners = runs.table()
+    finally:
+        runs.close(keep=True)
+    late = pairs.join(owners, ["h1", "h2"]).filter("owner < doc")
     drops = late.groupBy(F.col("doc").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(drop))
     return _rewrite(rows.join(drops, own, "left").drop(own), columns, drop, min_chars)
 

@@ -155,15 +155,21 @@ def test_line_dedup(docs, corpus, empty, batches, fanout):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines(corpus)
     assert linededup.dedup_lines(empty).count() == 0
+    clash = docs.withColumn("N_LINES", F.lit("x"))
+    assert [c for c in linededup.dedup_lines(clash).columns if c.lower() == "n_lines"] == ["n_lines"]
 
 
 def test_runs_hold_each_key_once(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for b in range(5):
         runs.add(spark.createDataFrame([(10 * b + d, k, 0) for d in range(3) for k in (0, b, b + 1)], "doc long, h1 long, h2 long"))
+    plan = runs.spark.table(runs.names()[0]).join(runs.spark.table(runs.names()[-1]).hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
     table = runs.table()
     assert {(r["h1"], r["owner"]) for r in table.collect()} == {(0, 0), (1, 0), (2, 10), (3, 20), (4, 30), (5, 40)} and table.count() == 6
     assert sum(len(level) for level in runs.levels) <= 3
+    runs.close()
+    assert not spark.catalog.listTables() and runs.table().count() == 0
 
 
 def brute_windows(corpus, items):
