@@ -1,9 +1,15 @@
-"""Main-text extraction by tree scoring: paragraphs pass points to their ancestors, the best container is kept."""
+"""Main-text extraction by tree scoring: paragraphs pass points to their ancestors, the best container is kept.
+
+Parts whose element is never article text (menus, forms, scripts) and hidden parts are cut out. A part that only its
+class, id or role speaks against is cut out too, unless it holds so much of the text that it must be a wrapper of the
+article; then it stays with a lower score. Scanning and tree building take time in proportion to the page.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -32,32 +38,48 @@ SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "dd": frozenset({"dl"}), "dt": f
 OUTER = frozenset("html body table td th caption button article section main div".split())
 #: Words in class, id or role of parts that are not the article.
 UNLIKELY = frozenset("ad ads adbox adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu menubar nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended widget toolbar pager pagination complementary contentinfo search login skip hidden dialog".split())
+#: Of UNLIKELY, words of parts that may well be longer than the article.
+NEVER = frozenset("comment comments disqus replies respond nav navbar navigation menu sidebar sidebars footer recommended cookie cookies consent".split())
 #: Of those, words that a wrapper of the article may carry too ("content-with-sidebar"): they do not count beside a word of LIKELY.
 WEAK = frozenset("sidebar sidebars widget hidden banner page".split())
 LIKELY = frozenset("article articlebody body content entry main page post story text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+#: A comment, declaration or tag. As browsers do, a value without quotes may hold quotes, and one with quotes may hold
+#: ">"; a quote that is never closed counts as part of a value without quotes, so that the page's text is not lost.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+{_VALUE})*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?", re.S)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _COMMA = re.compile("[,，、،]")
 
 
+#: Shares of the text from which a part with a word of UNLIKELY is taken for a wrapper: in general, and with a word of NEVER.
+WRAPS, SURELY_WRAPS = 0.5, 0.9
+PENALTY = 5.0
+#: Ancestors that a paragraph passes points to; the next would get less than a hundredth.
+LEVELS = 32
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "unlikely", "weight", "size", "linked", "score", "commas")
+    __slots__ = ("tag", "parent", "children", "dropped", "against", "weight", "size", "linked", "score", "commas")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.size = self.linked = self.commas = 0
-        self.score, self.unlikely, self.weight = 0.0, tag in DROPPED, 25.0 if tag in ("article", "main") else 0.0
-        if attrs:
+        self.score, self.dropped, self.weight = 0.0, tag in DROPPED, 25.0 if tag in ("article", "main") else 0.0
+        #: The words of class, id and role that speak against the part.
+        self.against: frozenset[str] = frozenset()
+        if attrs and not attrs.isspace():
             for name, value in _ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'")
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    self.unlikely = True
+                if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDDEN.search(value):
+                    self.dropped = True
                 elif name in ("class", "id", "role"):
                     words = {w.lower() for w in _WORD.findall(value)}
-                    if words & (UNLIKELY - WEAK if words & LIKELY else UNLIKELY) and tag not in ("html", "body", "article", "main") and not (tag in HEADING or tag == "p" and not words & {"ad", "ads", "advert", "notice", "cookie", "sponsored"}):
-                        self.unlikely = True
+                    found = words & (UNLIKELY - WEAK if words & LIKELY else UNLIKELY)
+                    if found and tag not in ("html", "body", "article", "main") and not (tag in HEADING or tag == "p" and not words & {"ad", "ads", "advert", "notice", "cookie", "sponsored"}):
+                        self.against |= found
                     if words & LIKELY:
                         self.weight += 5.0
 
@@ -66,6 +88,16 @@ def parse(html: str) -> Node:
     """A tree of Nodes and text strings. Unclosed and stray tags are repaired as browsers do for blocks."""
     root = Node("#root", None)
     at, here, end = 0, root, len(html)
+    open_tags: Counter[str] = Counter()
+
+    def close_to(node: Node) -> Node:
+        """Everything from here up to the node is closed; what holds it is open again."""
+        up = here
+        while up is not node.parent:
+            open_tags[up.tag] -= 1
+            up = up.parent
+        return up
+
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -78,20 +110,20 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = here
+            up = here if open_tags[tag] else root
             while up is not root and up.tag != tag and not (up.tag in OUTER and tag not in BLOCK):
                 up = up.parent
             if up is not root and up.tag == tag:
-                here = up.parent
+                here = close_to(up)
             continue
-        if closes := CLOSES.get(tag):
+        if (closes := CLOSES.get(tag)) and any(open_tags[x] for x in closes):
             stop, up, found = SCOPE.get(tag, OUTER), here, None
             while up is not root and up.tag not in stop:
                 found = up if up.tag in closes else found
                 up = up.parent
-            here = found.parent if found is not None else here
-        elif tag in HEADING and here.tag in HEADING:
-            here = here.parent
+            here = close_to(found) if found is not None else here
+        if tag in HEADING and here.tag in HEADING:
+            here = close_to(here)
         node = Node(tag, here, m[3])
         here.children.append(node)
         if tag in RAW:
@@ -99,25 +131,50 @@ def parse(html: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not m[3].endswith("/"):
             here = node
+            open_tags[tag] += 1
     return root
 
 
+def _has_heading(node: Node) -> bool:
+    return any(not isinstance(x, str) and x.tag in HEADING for x in node.children)
+
+
 def _prune(root: Node) -> None:
     """Cut out what cannot be article text. A header inside an article stays if it holds a heading and no menu."""
-    todo = [(root, False)]
+    doubtful = _cut(root, lambda node, inside: node.dropped or node.tag == "header" and not node.against and not (inside and _has_heading(node)))
+    if not doubtful:
+        return
+    _measure(root)
+    total = root.size
+
+    def goes(node: Node, inside: bool) -> bool:
+        if not node.against:
+            return False
+        if "header" in node.against and not node.against & NEVER and _has_heading(node) and (inside or node.weight > 0):
+            return False
+        if node.size > total * (SURELY_WRAPS if node.against & NEVER else WRAPS) and density(node) < 0.5:
+            node.weight -= PENALTY
+            return False
+        return True
+
+    _cut(root, goes)
+
+
+def _cut(root: Node, goes: Callable[[Node, bool], bool]) -> bool:
+    """Take out the nodes for which goes(node, inside an article) holds; whether words speak against any that is left."""
+    todo, doubtful = [(root, False)], False
     while todo:
         node, inside = todo.pop()
         kept = []
         for child in node.children:
             if isinstance(child, str):
                 kept.append(child)
-                continue
-            if child.tag == "header" and not child.unlikely:
-                child.unlikely = not (inside and any(not isinstance(x, str) and x.tag in HEADING for x in child.children))
-            if not child.unlikely:
+            elif not goes(child, inside):
                 kept.append(child)
+                doubtful = doubtful or bool(child.against)
                 todo.append((child, inside or child.tag in ("article", "main")))
         node.children = kept
+    return doubtful
 
 
 def _measure(root: Node) -> list[Node]:
@@ -125,6 +182,7 @@ def _measure(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
+        node.size = node.linked = node.commas = 0
         order.append(node)
         todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
     for node in reversed(order):
@@ -162,7 +220,7 @@ def main_container(order: list[Node]) -> list[Node]:
             continue
         points = 1 + node.commas + min(node.size / 100, 3)
         up, level = node.parent, 0
-        while up is not None and up.tag != "#root":
+        while up is not None and up.tag != "#root" and level < LEVELS:
             if id(up) not in candidates:
                 candidates[id(up)] = up
                 up.score += up.weight

@@ -528,6 +528,42 @@ def test_html(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>The title</h1><p>First paragraph, with some words, that matter.</p><p>Second paragraph, with more words, that also matter.</p>"
+WANTED = "The title\nFirst paragraph, with some words, that matter.\nSecond paragraph, with more words, that also matter."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div>Latest, short, news.</div><div class="post-content share-enabled">%s</div></body>',
+        '<body><article><div class="post-header"><h1>The title</h1></div>%s</article></body>'.replace("<h1>The title</h1></div>%s", "<h1>The title</h1></div>" + ARTICLE.split("</h1>")[1] + "%.0s"),
+        '<body><div class="related-work">%s</div></body>',
+        '<body><div class="page menu-open sidebar-right">%s</div><div class="comments"><p>Nice, post.</p></div></body>',
+        '<body><div class=it\'s title=a"b>%s</div><p class=it\'s></p></body>',
+        '<body><p title="a > b"></p><div title=\'"\'>%s</div></body>',
+        '<body><div>%s</div><div id="comments">' + "<p>Great, post, really, thanks, a lot, indeed.</p>" * 6 + "</div></body>",
+        '<body></ bogus ><? also ?><div>%s</div><a title="never closed></body>',
+    ],
+)
+def test_wrappers_and_broken_attributes_keep_the_article(page):
+    assert html.extract(page % ARTICLE) == WANTED
+
+
+@pytest.mark.parametrize("part", ['<a title="x ', "<a title='x ", "<b>", "</i><b>", "<p><b>", "<div>", "<!-- ", "<x=", "< ", "&lt", "<li>", "<table><tr>"])
+def test_long_broken_pages_take_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html.extract(part * (1_000_000 // len(part)) + "</i>" * 20_000)
+    assert time.process_time() - began < 15
+
+
+def test_very_long_page(spark):
+    rows = [(1, "u", "<article>" + "<p>Some words, here &amp; there.</p>" * 40_000 + "</article>"), (2, "v", '<a title="x ' * 90_000)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n".join(["Some words, here & there."] * 40_000), 2: ""}
+
+
 def test_links_weigh_less():
     links = "".join(f"<li><a href=x>link number {i}, with, many, commas</a></li>" for i in range(30))
     assert html.extract(f"<body><div id=x><ul>{links}</ul></div><div id=y><p>The text, that matters, is here.</p><p>And more of it, too.</p></div></body>") == "The text, that matters, is here.\nAnd more of it, too."
