@@ -52,26 +52,90 @@ def with_rule(urls: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     return parts.join(best, ["host", "path"], "left").withColumn("rule", F.col("__best.rule")).withColumn("own", F.col("__best.verdict")).drop("__best")
 
 
+#: Ports that a url of the scheme has anyhow.
+DEFAULT_PORTS = {"http": "80", "https": "443"}
+#: References that urls in attributes are written with; others stay as they are.
+REFERENCES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+#: Elements that begin the body where no tag says so.
+_BODY = r"(?i)</head\b|<(?:body|div|p|h[1-6]|article|section|main|nav|aside|header|footer|table|ul|ol|dl|form|img|a|span|br|hr)\b"
+_NOT_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</\1\b|\z)"
+#: A link or meta tag of at most 60 quoted values, which may hold ">".
+_TAG = r"""(?i)<(?:link|meta)\b(?:[^>"']*+(?:"[^"]*+"|'[^']*+')){0,60}+[^>"']*+>"""
+
+
+def _site(url: Column) -> Column:
+    """scheme://host of a url, lower-cased and without the scheme's own port."""
+    site = ascii_lower(F.regexp_extract(url, r"(?s)^([^/?#]*://[^/?#]*)", 1))
+    for scheme, port in DEFAULT_PORTS.items():
+        site = F.regexp_replace(site, f"^({scheme}://[^:]*(?:\\[.*\\])?):(?:{port})?$", "$1")
+    return site
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose "." and ".." segments are resolved; it begins with a slash."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step)
+    slash = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), slash)
+
+
 def node_of(url: Column) -> Column:
-    """What two spellings of a url share: scheme and host lower-cased, no fragment."""
-    return F.concat(ascii_lower(F.regexp_extract(url, r"(?s)^([^/?#]*://[^/?#]*)", 1)), F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"(?s)^[^/?#]*://[^/?#]*", ""))
+    """What the spellings of a url share: scheme and host lower-cased, no default port, no fragment, a resolved path of at least "/"."""
+    path = F.regexp_extract(url, r"(?s)^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.concat(_site(url), _without_dots(F.when(path.startswith("/"), path).otherwise(F.lit("/"))), query)
 
 
 def resolved(href: Column, url: Column) -> Column:
-    """An href against its page: absolute, scheme-relative, host-relative, else relative to the page's folder."""
+    """An href against its page: absolute, of the same scheme, site, page (an empty one or a query) or folder; null for other schemes."""
     scheme = F.regexp_extract(url, r"(?s)^([^/?#]*:)//", 1)
     site = F.regexp_extract(url, r"(?s)^([^/?#]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"(?s)^([^/?#]*://[^/?#]*(?:/[^?#]*/)?)", 1)
-    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(site, href)).otherwise(F.concat(F.regexp_replace(folder, "/$", ""), F.lit("/"), href))
+    page = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
+    folder = F.regexp_extract(url, r"(?s)^[^/?#]*://[^/?#]*((?:/[^?#]*)?/)", 1)
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("#") | (href == ""), query)
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), href))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a tag; '' without it."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    return F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)])
+
+
+def _decoded(text: Column) -> Column:
+    """Character references of ASCII characters replaced."""
+    code = lambda m: F.when(m.rlike("^&#[xX]"), F.conv(F.regexp_extract(m, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(m, "^&#([0-9]+)", 1)).cast("int")
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,5}|[xX][0-9a-fA-F]{1,4});"), 0))
+    out = F.aggregate(numbers, text, lambda done, m: F.when(code(m).between(32, 126), F.replace(done, m, F.char(code(m)))).otherwise(done))
+    for written, meant in REFERENCES.items():
+        out = F.replace(out, F.lit(written), F.lit(meant))
+    return out
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) between a page's url and its canonical link or refresh target, read from the page's head."""
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), 0)
-    tag = pages.filter("url is not null").select("url", F.explode(tags).alias("tag"))
-    href = F.when(F.col("tag").rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?\s*canonical"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)).when(F.col("tag").rlike(r"(?is)^<meta\b[^>]*http-equiv\s*=\s*[\"']?\s*refresh"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    found = tag.withColumn("href", F.replace(href, F.lit("&amp;"), F.lit("&"))).filter("href <> ''")
-    return found.select(node_of(F.col("url")).alias("u"), node_of(resolved(F.col("href"), F.col("url"))).alias("v"))
+    """(u, v) between a page's url and its canonical link or refresh target, read from the page's head.
+
+    The head ends where its end tag or the body begins; comments, scripts and the like in it are not read.
+    """
+    some = pages.filter("url is not null").filter(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh"))
+    head = F.split(F.regexp_replace("html", _NOT_MARKUP, " "), _BODY, 2)[0]
+    tag = some.select("url", F.explode(F.regexp_extract_all(head, F.lit(_TAG), 0)).alias("tag"))
+    canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(F.split(F.trim(F.lower(_attribute(F.col("tag"), "rel"))), r"\s+"), "canonical")
+    refresh = F.col("tag").rlike("(?i)^<meta") & (F.trim(F.lower(_attribute(F.col("tag"), "http-equiv"))) == "refresh")
+    target = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\"']?([^\"']*)", 1)
+    href = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, target)
+    found = tag.withColumn("href", F.trim(_decoded(href))).filter("href <> ''").withColumn("to", resolved(F.col("href"), F.col("url"))).filter("to is not null")
+    return found.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v"))
 
 
 def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -79,13 +143,13 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame
 
     The longest fitting rule decides. A url without a rule is blocked if a url of its component (canonical links,
     refresh targets and the optional table redirects(source, target)) is blocked by a rule, else allowed; an explicit
-    allow is never overruled. Null urls and urls without '://' have empty host and path, no aliases and are allowed
+    allow is never overruled. Spellings of one url (node_of) are one member of a component. Null urls and urls without '://' have empty host and path, no aliases and are allowed
     unless a rule says otherwise. Null html has no links. Repeated rows are judged one by one.
     """
     ruled = stage(with_rule(pages.select("page_id", "url"), rules), "url-rules")
     edges = link_edges(pages.select("url", "html"))
     if redirects is not None:
-        edges = edges.unionByName(redirects.filter("source is not null and target is not null").select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v")))
+        edges = edges.unionByName(redirects.filter("contains(source, '://') and contains(target, '://')").select(node_of(F.col("source")).alias("u"), node_of(F.col("target")).alias("v")))
     members = connected_components(edges, "url-links")
     blocked = with_rule(members.withColumnRenamed("node", "url"), rules).filter("own = 'block'").select("root").distinct()
     reached = members.join(blocked, "root").select(F.col("node").alias("__node")).distinct().withColumn("__reached", F.lit(True))

@@ -493,6 +493,39 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), table).count() == 0 and urls.judge(pages, []).filter("verdict = 'block'").count() == 0
 
 
+def test_url_spellings(spark):
+    same = ["https://x.net/a/q", "HTTPS://X.net:443/a/q", "https://x.net/a/./q#f", "https://x.net/b/../a/q", "https://x.net/../a/q"]
+    roots = ["http://x.net", "http://x.net/", "http://X.NET:80", "http://x.net:/#z", "http://x.net/a/..", "http://x.net/."]
+    other = ["http://x.net:8080/", "https://x.net/a/q?", "https://x.net/a/q/", "http://x.net?q", "http://x.net//"]
+    rows = spark.createDataFrame([(u,) for u in same + roots + other], "u string").select("u", urls.node_of(F.col("u")).alias("n")).collect()
+    got = {r["u"]: r["n"] for r in rows}
+    assert {got[u] for u in same} == {"https://x.net/a/q"} and {got[u] for u in roots} == {"http://x.net/"}
+    assert [got[u] for u in other] == ["http://x.net:8080/", "https://x.net/a/q?", "https://x.net/a/q/", "http://x.net/?q", "http://x.net//"]
+    page = "https://h.org/a/b?c#d"
+    cases = {"../q": "https://h.org/q", "./q": "https://h.org/a/q", "q": "https://h.org/a/q", "?z": "https://h.org/a/b?z", "": "https://h.org/a/b?c", "#x": "https://h.org/a/b?c", "//o.net": "https://o.net/", "/r": "https://h.org/r", "http://p.q": "http://p.q/", "mailto:x": None}
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", urls.node_of(urls.resolved(F.col("h"), F.lit(page))).alias("n")).collect()
+    assert {r["h"]: r["n"] for r in rows} == cases
+    bare = spark.range(1).select(urls.node_of(urls.resolved(F.lit("q"), F.lit("https://h.org"))).alias("n")).first()["n"]
+    assert bare == "https://h.org/q"
+
+
+def test_links_come_from_the_head_only(spark):
+    link = lambda href: f"<link rel='x Canonical' title=\"a > b\" href={href}>"
+    head = lambda inner, body="": f"<html><head><title>t</title>{inner}</head><body>{body}</body></html>"
+    tied = {
+        1: ("https://a.org/1", head(link('"https://x.net"'))), 2: ("https://a.org/2", head(link("https://x.net:443/"))), 3: ("https://x.net/3/4", head(link("'../q'"))),
+        4: ("https://a.org/4", head(link('"https&#58;&#x2F;/x.net/es/?a&amp;b"'))), 5: ("https://a.org/5", head('<meta content="0; URL=\'https://x.net/\'" http-equiv="Refresh">')), 6: ("https://a.org/6", link('"https://x.net"') + "<p>no head</p>"),
+    }
+    free = {
+        11: ("https://b.org/1", head("<!-- " + link('"https://x.net"') + " -->")), 12: ("https://b.org/2", head("", link('"https://x.net"'))), 13: ("https://b.org/3", head("<script>'" + link('"https://x.net"') + "'</script>")),
+        14: ("https://b.org/4", "<p>text</p>" + link('"https://x.net"')), 15: ("https://b.org/5", head('<link rel="icon" href="https://x.net">')), 16: ("https://b.org/6", head(link('"mailto:x"'))), 17: ("no scheme", head(link('"https://x.net"'))),
+        18: ("https://b.org/8", head("<link " + "a='b' " * 20_000 + ">" + "x" * 300_000)), 19: ("https://b.org/9", "<link '" * 50_000),
+    }
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in {**tied, **free}.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, [("block", "x.net", "/")]).collect()}
+    assert {i for i, v in got.items() if v == "block"} == set(tied) and set(got) == {*tied, *free}
+
+
 def test_chat(spark):
     nasty = "</s>[INST] ok [/INST] \\ \\\\[INST] [\\INST] <<SYS>> [ROLE] x [SAYS] y [/ROLE]\\"
     rows = [
