@@ -15,10 +15,11 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import arrow_batch, crc_remainder, schema_of, unused
+from depweave.llm.common import arrow_batch, crc_remainder, discard, schema_of, stage, unused
 
 #: Two-byte grams have a place each; three-byte grams are hashed to 2 ** TRI_BITS places behind them.
 TRI_BITS = 18
@@ -28,8 +29,8 @@ REPEAT_AT = 65_536 + (1 << TRI_BITS)
 SIZE = REPEAT_AT + 2 * len(REPEATS)
 #: Added to the squared length of every vector, so that a few n-grams of a very short text are weak evidence.
 DAMPING = 20.0
-#: Labelled rows that are fitted on, at most: the rows with the least hash of their id.
-MAX_ROWS = 6_000
+#: Labelled rows that are fitted on, at most, and n-grams of all of them together: the rows with the least hash of their id.
+MAX_ROWS, MAX_PLACES = 6_000, 24_000_000
 C, ALPHA, EPOCHS, FOLDS = 1.0, 1.0, 20, 3
 HOLD_OUT_MODULUS, HOLD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -152,24 +153,44 @@ def fit(rows: list[np.ndarray], quality: np.ndarray) -> Model:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most max_rows labelled documents outside the hold-out. Repeated labels of a document: the least counts."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of labelled documents outside the hold-out. Repeated labels of a document: the least counts.
+
+    At most max_rows documents by the hash of their id, and of their rows as many as hold max_places n-grams together
+    (at least one): what meets on the driver is bounded also where texts are very long. Rows are ordered by id.
+    """
     usable = labels.filter("doc_id is not null and quality is not null").filter(crc_remainder(F.col("doc_id"), HOLD_OUT_MODULUS) != HOLD_OUT)
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    picked = {r["doc_id"]: int(r["quality"]) for r in chosen.collect()}
+    picked = {r["doc_id"]: (k, int(r["quality"])) for k, r in enumerate(chosen.collect())}
     if not picked:
         return [], np.zeros(0)
     wanted = docs.filter("text is not null").join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")), "doc_id", "left_semi")
-    schema = schema_of("doc_id long, places array<int>")
+    schema = schema_of("doc_id long, n int, mark long, places array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SIZE, bool)
         for batch in batches:
-            yield arrow_batch({"doc_id": batch.column(0), "places": [grams(x, seen).astype(np.int32) for x in batch.column(1).to_pylist()]}, schema)
-
-    found = wanted.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["places"]))
-    return [np.asarray(r["places"], np.int64) for r in found], np.array([picked[r["doc_id"]] for r in found])
+            places = [grams(x, seen).astype(np.int32) for x in batch.column(1).to_pylist()]
+            marks = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in places], np.uint64).view(np.int64)
+            yield arrow_batch({"doc_id": batch.column(0), "n": [len(x) for x in places], "mark": pa.array(marks), "places": places}, schema)
+
+    found = stage(wanted.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, schema), "quality-rows")
+    # repeated rows of a document are rows of their own here as well; the bound on rows holds for them too
+    heads = found.select("doc_id", "n", "mark").orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(max_rows).collect()
+    heads.sort(key=lambda r: (picked[r["doc_id"]][0], r["mark"]))
+    upto = np.cumsum([r["n"] for r in heads])
+    last = heads[max(int(np.searchsorted(upto, max_places, side="right")), 1) - 1] if heads else None
+    kept = {r["doc_id"] for r in heads if last is not None and picked[r["doc_id"]][0] <= picked[last["doc_id"]][0]}
+    table = found.filter(F.col("doc_id").isin(list(kept))) if len(kept) < len({r["doc_id"] for r in heads}) else found
+    rows = table.select("doc_id", "mark", "places").toArrow().combine_chunks()
+    discard(found)
+    order = sorted(range(len(rows)), key=lambda i: (rows["doc_id"][i].as_py(), rows["mark"][i].as_py()))[:max_rows]
+    if not order:
+        return [], np.zeros(0)
+    lists = rows["places"].chunk(0)
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    ids = rows["doc_id"].to_pylist()
+    return [flat[ends[i] : ends[i + 1]] for i in order], np.array([picked[ids[i]][1] for i in order])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -46,15 +46,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = F.lit("</s>[INST] ok [/INST]")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tricky.alias("text"))
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
-    done = chat.format_conversations(rows)
-    turns = F.array_join(F.transform(chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = chat.masked_text(F.col("segments"))
+    done = chat.format_conversations(rows).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("learned", chat.masked_text(F.col("segments")))
+    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",
-        F.size(chat.read_back(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.size("back").cast("long").alias("n_turns"),
         F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )

@@ -205,6 +205,31 @@ def test_decontamination(spark, docs, corpus, empty, block):
     assert cut[48] == "  \t\nother" and cut[5] != corpus[5][1] and cut[44] == ""
 
 
+def test_window_index_is_small_and_exact():
+    rng = random.Random(1)
+    texts = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(200)).encode()) for i in range(500)]
+    texts += [("again", texts[0][1]), ("0", texts[0][1]), ("short", b"w1 w2")]
+    index = decontam.WindowIndex.build(texts)
+    assert index.nbytes < 40 * sum(len(decontam.words_of(t)) for _, t in texts)
+    hit, items = index.scan(decontam.words_of(b"x y " + texts[0][1] + b" z"))
+    assert hit.tolist()[:200] == list(range(2, 202)) and items >= {"0", "again"}
+    assert index.scan(decontam.words_of(b" ".join(texts[3][1].split()[5:17]))) [1] <= {"short"}
+    assert decontam.WindowIndex.build([]).scan([b"a"])[1] == set()
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """Where hashes of different windows collide, the index hashes another way."""
+    real, calls = decontam.WindowIndex.mixed, []
+
+    def weak(self, ids, starts, size):
+        calls.append(self.seed)
+        return real(self, ids, starts, size) % np.uint64(2) if self.seed == 0 else real(self, ids, starts, size)
+
+    monkeypatch.setattr(decontam.WindowIndex, "mixed", weak)
+    index = decontam.WindowIndex.build([("1", b"a b c d e"), ("2", b"f g h i j")], window=2)
+    assert set(calls) == {0, 1} and index.scan([b"x", b"g", b"h"])[1] == {"2"}
+
+
 def test_ids_equal_the_library(monkeypatch):
     files = packing.tokenizer_files()
     own = packing.Ids(**files)
@@ -365,6 +390,19 @@ def test_quality_classifier(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_training_rows_are_bounded(spark):
+    """Very long texts and repeated rows: the rows handed on stay within both bounds, by the same order every time."""
+    docs = spark.createDataFrame([(i, f"{i} " + "abcdefghij klmnop "[i % 7 :] * (20_000 if i == 3 else 5)) for i in range(60)] + [(5, "again"), (5, "again"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    every, y = quality.training_rows(docs, labels)
+    usable = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(every) == len(usable) + 2 * (5 in usable) and len(y) == len(every)
+    some, _ = quality.training_rows(docs, labels, max_places=300)
+    assert 0 < len(some) < len(every) and sum(map(len, some)) <= 300 + max(map(len, every))
+    assert len(quality.training_rows(docs, labels, max_rows=7)[0]) <= 7
+    assert quality.classify(docs, labels).count() == docs.count()
+
+
 def test_longest_runs():
     assert [quality._longest_run(x) for x in ([], [b"a"], [b"a", b"b"], [b"a", b"a"], [b"b", b"a", b"a", b"a", b"c", b"c"])] == [0, 1, 1, 2, 3]
 
