@@ -16,6 +16,8 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 from depweave.llm.common import arrow_batch, discard, schema_of, stage
 
 CAPACITY, END_ID = 1024, 2
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 6, 24
-#: Text chunks whose ids a task keeps, and the bytes of text that it turns into ids at once.
-CACHE, BLOCK = 500_000, 6_000_000
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 6, 16
+#: Text chunks whose ids a worker process keeps, and the bytes of text that it turns into ids at once.
+CACHE, BLOCK = 250_000, 4_000_000
 #: A bin of the other parent is well filled from GOOD of its capacity on; below LOOSE it is opened in the child.
 GOOD, LOOSE = 63 / 64, 7 / 8
 
@@ -156,6 +158,12 @@ class Ids:
             at = end
 
 
+@lru_cache(maxsize=2)
+def ids_of(tokenizer: str, ranks: str | None, pattern: str | None) -> Ids:
+    """One tokenizer and one store of chunks for all tasks of a worker process."""
+    return Ids(tokenizer, ranks, pattern)
+
+
 def tokenizer_files() -> dict:
     """The public byte-level vocabulary, as parameters of `pieces`."""
     import public_tokenizers
@@ -172,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: s
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, uid = Ids(tokenizer, ranks, pattern), TaskContext.get().partitionId() << 36
+        own, uid = ids_of(tokenizer, ranks, pattern), TaskContext.get().partitionId() << 36
         for batch in batches:
             out: dict[str, list] = {name: [] for name in schema.fieldNames()}
             for doc, ids in zip(batch.column(0).to_pylist(), own.many(batch.column(1)), strict=True):
@@ -206,16 +214,19 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
 
 
 def best_fit(sizes: list[int], order: list[int], bins: Bins, capacity: int, filled: list[int] | None = None) -> Bins:
-    """Put pieces into the bins, which are changed, or new ones: always where the least room is left."""
-    room = sorted((capacity - x, k) for k, x in enumerate(filled if filled is not None else [sum(sizes[i] for i in b) for b in bins]))
+    """Put pieces into the bins, which are changed (and `filled` with them), or new ones: always where the least room is left."""
+    filled = _filled(sizes, bins) if filled is None else filled
+    room = sorted((capacity - x, k) for k, x in enumerate(filled))
     for i in order:
         at = bisect_left(room, (sizes[i], -1))
         if at < len(room):
             left, k = room.pop(at)
             bins[k].append(i)
+            filled[k] += sizes[i]
         else:
             left, k = capacity, len(bins)
             bins.append([i])
+            filled.append(sizes[i])
         if left > sizes[i]:
             insort(room, (left - sizes[i], k))
     return bins
@@ -225,15 +236,26 @@ def _filled(sizes: list[int], bins: Bins) -> list[int]:
     return [sum([sizes[i] for i in b]) for b in bins]
 
 
-def _fitness(filled: list[int]) -> tuple[int, int]:
-    """Fewer bins first, then fuller ones (sum of squares)."""
-    return len(filled), -sum([x * x for x in filled])
+@dataclass
+class Packing:
+    """A chromosome: bins and how full they are. Bins are shared between chromosomes and never changed in place."""
+
+    bins: Bins
+    filled: list[int]
+
+    @classmethod
+    def of(cls, sizes: list[int], bins: Bins) -> Packing:
+        return cls(bins, _filled(sizes, bins))
 
+    def fitness(self) -> tuple[int, int]:
+        """Fewer bins first, then fuller ones (sum of squares)."""
+        return len(self.bins), -sum([x * x for x in self.filled])
 
-def place_displaced(sizes: list[int], bins: Bins, filled: list[int], displaced: list[int], capacity: int) -> Bins:
+
+def place_displaced(sizes: list[int], bins: Bins, filled: list[int], displaced: list[int], capacity: int) -> Packing:
     """Best-fit displaced pieces; before that, fuller bins first, swap one for one or two of a bin where the bin gains most."""
     loose = sorted((sizes[i], i) for i in displaced)
-    for k in sorted(range(len(bins)), key=lambda k: -filled[k]):
+    for k in np.argsort([-x for x in filled], kind="stable").tolist():
         room, own = capacity - filled[k], bins[k]
         if not room:
             continue
@@ -253,61 +275,74 @@ def place_displaced(sizes: list[int], bins: Bins, filled: list[int], displaced:
             filled[k] += gain
             for i in out:
                 insort(loose, (sizes[i], i))
-    return best_fit(sizes, [i for _, i in reversed(loose)], bins, capacity, filled)
+    # bins that pieces are put into are copied first
+    done, order = Packing(bins, filled), [i for _, i in reversed(loose)]
+    room = sorted((capacity - x, k) for k, x in enumerate(filled))
+    copied: set[int] = set()
+    for i in order:
+        at = bisect_left(room, (sizes[i], -1))
+        if at < len(room):
+            left, k = room.pop(at)
+            if k not in copied:
+                bins[k] = list(bins[k])
+                copied.add(k)
+            bins[k].append(i)
+            filled[k] += sizes[i]
+        else:
+            left, k = capacity, len(bins)
+            bins.append([i])
+            filled.append(sizes[i])
+            copied.add(k)
+        if left > sizes[i]:
+            insort(room, (left - sizes[i], k))
+    return done
 
 
-def crossover(sizes: list[int], first: Bins, second: Bins, capacity: int, rng: np.random.Generator) -> Bins:
+def crossover(sizes: list[int], first: Packing, second: Packing, capacity: int, rng: np.random.Generator) -> Packing:
     """Half of the well-filled bins of one parent go whole into the other; bins with duplicates go; what they held is placed anew."""
-    full = [b for b, x in zip(first, _filled(sizes, first), strict=True) if x >= GOOD * capacity]
-    child = [full[i] for i in np.flatnonzero(rng.random(len(full)) < 0.5)]
-    have = {i for b in child for i in b}
+    full = [k for k, x in enumerate(first.filled) if x >= GOOD * capacity]
+    taken = [full[i] for i in np.flatnonzero(rng.random(len(full)) < 0.5)]
+    bins, filled = [first.bins[k] for k in taken], [first.filled[k] for k in taken]
+    have = {i for b in bins for i in b}
     displaced: list[int] = []
-    for b in second:
-        if have.isdisjoint(b):
-            child.append(b)
-        else:
+    for b, x in zip(second.bins, second.filled, strict=True):
+        if not have.isdisjoint(b):
             displaced += [i for i in b if i not in have]
-    kept, filled = [], []
-    for b, x in zip(child, _filled(sizes, child), strict=True):
-        if x >= LOOSE * capacity:
-            kept.append(list(b))
+        elif x >= LOOSE * capacity:
+            bins.append(b)
             filled.append(x)
         else:
             displaced += b
-    return place_displaced(sizes, kept, filled, displaced, capacity)
+    return place_displaced(sizes, bins, filled, displaced, capacity)
 
 
-def mutate(sizes: list[int], bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
+def mutate(sizes: list[int], own: Packing, capacity: int, rng: np.random.Generator) -> Packing:
     """Dissolve the least filled bins and as many random ones, and place their pieces anew."""
-    filled = _filled(sizes, bins)
-    some = max(2, len(bins) // 20)
-    gone = set(np.argsort(filled, kind="stable")[:some].tolist()) | set(rng.integers(0, len(bins), some).tolist())
-    kept = [k for k in range(len(bins)) if k not in gone]
-    return place_displaced(sizes, [list(bins[k]) for k in kept], [filled[k] for k in kept], [i for k in sorted(gone) for i in bins[k]], capacity)
+    some = max(2, len(own.bins) // 20)
+    gone = set(np.argsort(own.filled, kind="stable")[:some].tolist()) | set(rng.integers(0, len(own.bins), some).tolist())
+    kept = [k for k in range(len(own.bins)) if k not in gone]
+    return place_displaced(sizes, [own.bins[k] for k in kept], [own.filled[k] for k in kept], [i for k in sorted(gone) for i in own.bins[k]], capacity)
 
 
 def evolve(sizes: list[int], seeds: list[Bins], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
     """One epoch of one island; the elite it ends with."""
     rng, bound = np.random.default_rng(seed), lower_bound(sizes, capacity)
-    pool = [[list(b) for b in x] for x in seeds]
     order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
-    if not pool:
-        pool.append(best_fit(sizes, order, [], capacity))
-    while len(pool) < population and min(map(len, pool)) > bound:
+    pool = [Packing.of(sizes, [list(b) for b in x]) for x in seeds] or [Packing.of(sizes, best_fit(sizes, order, [], capacity))]
+    while len(pool) < population and min(len(x.bins) for x in pool) > bound:
         noise = rng.random(len(sizes)) * 0.05 * capacity * len(pool)
-        pool.append(best_fit(sizes, sorted(order, key=lambda i: -sizes[i] - noise[i]), [], capacity))
-    ranked = sorted(((_fitness(_filled(sizes, x)), k, x) for k, x in enumerate(pool)), key=lambda x: x[:2])
+        pool.append(Packing.of(sizes, best_fit(sizes, sorted(order, key=lambda i: -sizes[i] - noise[i]), [], capacity)))
+    ranked = sorted(((x.fitness(), k, x) for k, x in enumerate(pool)), key=lambda x: x[:2])
     count = len(ranked)
     for _ in range(generations):
         if ranked[0][0][0] <= bound:
             break
         best, mate = ranked[0][2], ranked[int(rng.integers(1, len(ranked)))][2] if len(ranked) > 1 else ranked[0][2]
-        children = [crossover(sizes, best, mate, capacity, rng), crossover(sizes, mate, best, capacity, rng), mutate(sizes, best, capacity, rng)]
-        for child in children:
+        for child in (crossover(sizes, best, mate, capacity, rng), crossover(sizes, mate, best, capacity, rng), mutate(sizes, best, capacity, rng)):
             count += 1
-            ranked.append((_fitness(_filled(sizes, child)), count, child))
+            ranked.append((child.fitness(), count, child))
         ranked = sorted(ranked, key=lambda x: x[:2])[:population]
-    return ranked[0][2]
+    return ranked[0][2].bins
 
 
 def _deal(items: DataFrame, shard: int, salt: int) -> DataFrame:

@@ -277,7 +277,11 @@ def test_genetic_steps_keep_all_pieces():
     sizes = rng.integers(1, 1024, 500).tolist()
     first = packing.best_fit(sizes, list(range(500)), [], 1024)
     second = packing.best_fit(sizes, sorted(range(500), key=lambda i: -sizes[i]), [], 1024)
-    for bins in (first, second, packing.crossover(sizes, first, second, 1024, rng), packing.mutate(sizes, first, 1024, rng), packing.evolve(sizes, [first], 1024, 1)):
+    parents = [packing.Packing.of(sizes, x) for x in (first, second)]
+    before = [[list(b) for b in x] for x in (first, second)]
+    children = [packing.crossover(sizes, *parents, 1024, rng), packing.mutate(sizes, parents[0], 1024, rng)]
+    assert all(x.filled == [sum(sizes[i] for i in b) for b in x.bins] for x in children) and [first, second] == before
+    for bins in (first, second, *(x.bins for x in children), packing.evolve(sizes, [first], 1024, 1)):
         assert sorted(i for b in bins for i in b) == list(range(500)) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
     assert len(packing.evolve(sizes, [first, second], 1024, 1)) <= min(len(first), len(second))
     assert packing.evolve([], [], 1024, 1) == [] and packing.lower_bound([], 1024) == 0
