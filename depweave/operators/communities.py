@@ -1,4 +1,8 @@
-"""Communities: greedy modularity moves with repairs, and label propagation. Both depend on node order (by id) and run as one task a project.
+"""Communities: greedy modularity moves with repairs, and label propagation.
+
+Both depend on node order (by id) and run as one task a project where a task can hold it. A larger project goes through
+the same steps (moves by weight, single nodes joined, oversized communities divided) as rounds on DataFrames, in which
+half of the nodes, by a hash, decide at once; its communities need not be those of the sequential order.
 
 Modularity moves on a whole graph use half the usual total weight as their constant (so small communities are
 favoured); the moves inside an oversized community use the usual one.
@@ -10,11 +14,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from depweave.plans.staging import discard, fits_kernel, per_project, stage
+from depweave.operators.query import reach
+from depweave.plans.staging import by_size, discard, per_project, stage
 
 SWEEPS, LABEL_SWEEPS = 20, 50
 SPLIT_SHARE, SPLIT_LEAST = 0.25, 10
@@ -161,12 +166,7 @@ def _numbered(members: DataFrame) -> DataFrame:
 
 
 def detect(nodes: DataFrame, edges: DataFrame, method: str = "modularity") -> DataFrame:
-    """(project, id, community_id). method: 'modularity' (edge weights count) or 'labels'. All edges count, also to externals.
-
-    A project beyond one task's size is partitioned by synchronous label propagation on DataFrames instead.
-    """
-    if not fits_kernel(edges):
-        return spread_labels_distributed(nodes, edges)
+    """(project, id, community_id). method: 'modularity' (edge weights count) or 'labels'. All edges count, also to externals."""
 
     def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(v):
@@ -183,26 +183,127 @@ def detect(nodes: DataFrame, edges: DataFrame, method: str = "modularity") -> Da
                 split_large(label, links)
         return pd.DataFrame({"project": v["project"].iloc[0], "id": ids, "label": np.asarray(label, np.int64)})
 
-    found = per_project(nodes.select("project", "id"), edges.select("project", "src", "dst", "weight"), kernel, "project string, id string, label long")
-    return _numbered(found)
-
-
-def spread_labels_distributed(nodes: DataFrame, edges: DataFrame, rounds: int = LABEL_SWEEPS) -> DataFrame:
-    """Synchronous label propagation: all nodes take the commonest label around them at once; a node that would swing back keeps the lower label."""
-    links = edges.select("project", "src", "dst").filter("src <> dst")
-    links = stage(links.unionByName(links.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "label-links")
-    labels = stage(nodes.select("project", "id", F.col("id").alias("label"), F.col("id").alias("before")), "labels")
-    for _ in range(rounds):
-        votes = links.join(labels.select("project", F.col("id").alias("dst"), "label"), ["project", "dst"]).groupBy("project", "src", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("project", F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("new"))
-        moved = labels.join(best, ["project", "id"], "left").withColumn("new", F.coalesce("new", "label"))
-        moved = moved.withColumn("new", F.when((F.col("new") == F.col("before")) & (F.col("label") < F.col("new")), F.col("label")).otherwise(F.col("new")))
-        now = stage(moved.select("project", "id", F.col("new").alias("label"), F.col("label").alias("before")), "labels")
-        discard(labels)
-        labels = now
-        if now.filter("label <> before").isEmpty():
+    small = lambda v, e: per_project(v, e, kernel, "project string, id string, label long").withColumn("label", F.col("label").cast("string"))
+    large = lambda v, e: detect_distributed(v, e, method)
+    return _numbered(by_size(nodes.select("project", "id"), edges.select("project", "src", "dst", "weight"), small, large))
+
+
+def _both_ways(edges: DataFrame, weighted: bool) -> DataFrame:
+    """(project, src, dst, w), each tie in both directions, without loops."""
+    ties = edges.filter("src <> dst").select("project", "src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("w"))
+    both = ties.unionByName(ties.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return both.groupBy("project", "src", "dst").agg((F.sum("w") if weighted else F.max("w")).alias("w"))
+
+
+def _rounds(labels: DataFrame, best, most: int) -> DataFrame:
+    """best(labels) -> (project, id, new), applied to half of the nodes a round until no node of either half wants to move."""
+    quiet = 0
+    for number in range(2 * most):
+        turn = F.pmod(F.xxhash64("id", F.lit(number // 2)), F.lit(2)) == number % 2
+        given = labels.join(best(labels), ["project", "id"], "left")
+        new = F.when(turn, F.coalesce("new", "label")).otherwise(F.col("label"))
+        now = stage(given.select(*labels.columns[:-1], new.alias("label"), (new != F.col("label")).alias("moved")), "labels")
+        quiet = quiet + 1 if now.filter("moved").isEmpty() else 0
+        old, labels = labels, now.drop("moved")
+        discard(old)
+        if quiet == 2:
+            break
+    return labels
+
+
+def _moves_distributed(nodes: DataFrame, links: DataFrame, total: float | Column, rounds: int = SWEEPS) -> DataFrame:
+    """(project, id, label): modularity moves from single nodes on; total: what part of the links' weight is the constant m."""
+    degree = links.groupBy("project", F.col("src").alias("id")).agg(F.sum("w").alias("degree"))
+    size = links.groupBy("project").agg((F.sum("w") * total).alias("m"))
+    state = nodes.join(degree, ["project", "id"], "left").join(size, "project", "left")
+    labels = stage(state.select("project", "id", F.coalesce("degree", F.lit(0.0)).alias("degree"), "m", F.col("id").alias("label")), "labels")
+
+    def best(labels: DataFrame) -> DataFrame:
+        tied = links.join(labels.select("project", F.col("id").alias("dst"), "label"), ["project", "dst"]).groupBy("project", F.col("src").alias("id"), "label").agg(F.sum("w").alias("k"))
+        own = labels.select("project", "id", "label", F.lit(0.0).alias("k")).join(links.select("project", F.col("src").alias("id")).distinct(), ["project", "id"], "left_semi")
+        options = tied.unionByName(own).groupBy("project", "id", "label").agg(F.sum("k").alias("k"))
+        held = labels.groupBy("project", "label").agg(F.sum("degree").alias("held"))
+        rows = options.join(held, ["project", "label"]).join(labels.select("project", "id", "degree", "m", F.col("label").alias("here")), ["project", "id"])
+        others = F.col("held") - F.when(F.col("label") == F.col("here"), F.col("degree")).otherwise(F.lit(0.0))
+        gain = F.round(F.col("k") / F.col("m") - others * F.col("degree") / (2 * F.col("m") * F.col("m")), 12)
+        order = F.struct(-gain, F.when(F.col("label") == F.col("here"), 0).otherwise(1), F.col("label"))
+        return rows.groupBy("project", "id").agg(F.min_by("label", order).alias("new"))
+
+    return _rounds(labels, best, rounds).select("project", "id", "label")
+
+
+def _labels_distributed(nodes: DataFrame, links: DataFrame, rounds: int = LABEL_SWEEPS) -> DataFrame:
+    """(project, id, label): the commonest label around, the lowest of those; a node keeps its own if that is one of them."""
+    labels = stage(nodes.select("project", "id", F.col("id").alias("label")), "labels")
+
+    def best(labels: DataFrame) -> DataFrame:
+        votes = links.join(labels.select("project", F.col("id").alias("dst"), "label"), ["project", "dst"]).groupBy("project", F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+        rows = votes.join(labels.select("project", "id", F.col("label").alias("here")), ["project", "id"])
+        return rows.groupBy("project", "id").agg(F.min_by("label", F.struct(-F.col("n"), F.when(F.col("label") == F.col("here"), 0).otherwise(1), F.col("label"))).alias("new"))
+
+    return _rounds(labels, best, rounds).select("project", "id", "label")
+
+
+def _adopt_distributed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Single nodes join their strongest neighbour's community (two that choose each other become one); those without any are one community."""
+    single = labels.join(labels.groupBy("project", "label").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("project", "label"), ["project", "label"], "left_semi").select("project", "id")
+    near = links.withColumnRenamed("src", "id").join(single, ["project", "id"]).join(labels.withColumnRenamed("id", "dst"), ["project", "dst"])
+    chosen = near.groupBy("project", "id").agg(F.min_by(F.struct("dst", "label"), F.struct(-F.col("w"), F.col("label"))).alias("c"))
+    back = chosen.select("project", F.col("id").alias("other"), F.col("c.dst").alias("their"))
+    pairs = chosen.join(back, (chosen["project"] == back["project"]) & (F.col("c.dst") == F.col("other")), "left").drop(back["project"])
+    mutual = F.col("their") == F.col("id")
+    given = pairs.select("project", "id", F.when(mutual, F.least("id", "other")).otherwise(F.col("c.label")).alias("new"), F.lit(True).alias("tied"))
+    out = labels.join(single.withColumn("alone", F.lit(True)), ["project", "id"], "left").join(given, ["project", "id"], "left")
+    return stage(out.select("project", "id", F.when(F.col("tied"), F.col("new")).when(F.col("alone"), F.lit("")).otherwise(F.col("label")).alias("label")), "labels")
+
+
+def _bisect_distributed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(project, id, label): two parts by hops from the node of least degree, cut where they hold half of the degree."""
+    degree = nodes.join(links.groupBy("project", F.col("src").alias("id")).agg(F.sum("w").alias("d")), ["project", "id"], "left").na.fill(0.0, ["d"])
+    seed = degree.groupBy("project").agg(F.min_by("id", F.struct("d", "id")).alias("id"))
+    levels = degree.join(reach(links, seed, None).select("project", "id", "depth"), ["project", "id"], "left")
+    held = levels.groupBy("project", "depth").agg(F.sum("d").alias("d"))
+    upto = held.withColumn("upto", F.sum("d").over(Window.partitionBy("project").orderBy(F.asc_nulls_last("depth")))).withColumn("all", F.sum("d").over(Window.partitionBy("project")))
+    inside = upto.filter((F.col("depth") == 0) | (F.col("upto") <= F.col("all") / 2)).select("project", "depth", F.lit("0").alias("inside"))
+    return levels.join(inside, ["project", "depth"], "left").select("project", "id", F.coalesce("inside", F.lit("1")).alias("label"))
+
+
+def _split_distributed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Communities above a quarter of their graph (and ten nodes) are divided once, by the first program that divides them."""
+    size = labels.groupBy("project", "label").agg(F.count(F.lit(1)).alias("n"))
+    whole = size.groupBy("project").agg(F.sum("n").alias("all"))
+    large = size.join(whole, "project").filter(F.col("n") > F.greatest(F.floor(F.col("all") * SPLIT_SHARE + 0.5), F.lit(SPLIT_LEAST))).select("project", "label")
+    key = F.to_json(F.struct("project", "label"))
+    members = stage(labels.join(large, ["project", "label"]).select("project", "label", key.alias("key"), "id"), "split-nodes")
+    if members.isEmpty():
+        return labels
+    at = lambda c: members.select("project", F.col("key").alias(f"k_{c}"), F.col("id").alias(c))
+    inner = links.join(at("src"), ["project", "src"]).join(at("dst"), ["project", "dst"]).filter("k_src = k_dst")
+    inner = stage(inner.select(F.col("k_src").alias("project"), "src", "dst", "w"), "split-links")
+    left = members.select(F.col("key").alias("project"), "id").join(inner.select("project").distinct(), "project", "left_semi")
+    done = []
+    for divide in (lambda v, e: _moves_distributed(v, e, 0.5), _labels_distributed, _bisect_distributed):
+        part = stage(divide(left, inner.join(left.select("project").distinct(), "project", "left_semi")), "split-labels")
+        divided = part.groupBy("project").agg(F.countDistinct("label").alias("parts")).filter("parts > 1").select("project")
+        done.append(part.join(divided, "project", "left_semi"))
+        left = stage(left.join(divided, "project", "left_anti"), "split-left")
+        if left.isEmpty():
             break
-    return _numbered(labels.select("project", "id", "label"))
+    parts = done[0]
+    for x in done[1:]:
+        parts = parts.unionByName(x)
+    named = members.join(parts.select(F.col("project").alias("key"), "id", F.col("label").alias("part")), ["key", "id"])
+    fresh = named.select("project", "id", F.concat("key", F.lit("|"), F.col("part")).alias("fresh"))
+    return labels.join(fresh, ["project", "id"], "left").select("project", "id", F.coalesce("fresh", "label").alias("label"))
+
+
+def detect_distributed(nodes: DataFrame, edges: DataFrame, method: str = "modularity") -> DataFrame:
+    """(project, id, label) by rounds on DataFrames: the steps of detect()'s kernel for projects of any size."""
+    links = stage(_both_ways(edges, method == "modularity"), "community-links")
+    if method == "labels":
+        return _split_distributed(_labels_distributed(nodes, links), links)
+    labels = _moves_distributed(nodes, links, 0.25)
+    return _split_distributed(_adopt_distributed(labels, links), links)
 
 
 def communities(assignment: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from depweave.functions.text import canonical_rotation
 from depweave.operators.metrics import _positions
-from depweave.plans.staging import discard, fits_kernel, per_project, stage
+from depweave.plans.staging import by_size, discard, per_project, stage
 
 MAX_CYCLES = 500
 
@@ -55,18 +58,14 @@ def scc_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
 def components(nodes: DataFrame, edges: DataFrame, distributed: bool | None = None) -> DataFrame:
     """(project, id, scc_id): the least id of each node's strongly connected component, single nodes included."""
     nodes, edges = nodes.select("project", "id").distinct(), edges.select("project", "src", "dst").filter("src <> dst").distinct()
-    if distributed is None:
-        distributed = not fits_kernel(edges)
-    if not distributed:
 
-        def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-            ids, src, dst = _positions(pd.concat([v["id"], e["src"], e["dst"]]), e)
-            out = pd.DataFrame({"id": ids, "scc_id": ids[scc_labels(src, dst, len(ids))] if len(ids) else ids})
-            return out.assign(project=v["project"].iloc[0] if len(v) else None)[["project", "id", "scc_id"]]
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, src, dst = _positions(pd.concat([v["id"], e["src"], e["dst"]]), e)
+        out = pd.DataFrame({"id": ids, "scc_id": ids[scc_labels(src, dst, len(ids))] if len(ids) else ids})
+        return out.assign(project=v["project"].iloc[0] if len(v) else None)[["project", "id", "scc_id"]]
 
-        found = per_project(nodes, edges, kernel, "project string, id string, scc_id string")
-        return nodes.join(found, ["project", "id"])
-    return _components_by_colour(nodes, edges)
+    small = lambda v, e: v.join(per_project(v, e, kernel, "project string, id string, scc_id string"), ["project", "id"])
+    return by_size(nodes, edges, small, _components_by_colour, distributed)
 
 
 def _spread(colours: DataFrame, links: DataFrame) -> DataFrame:
@@ -117,6 +116,12 @@ def find_sccs(nodes: DataFrame, edges: DataFrame, excluding: list[str] | None =
     return sizes.filter(F.size("nodes") > 1)
 
 
+def two_cycle_pairs(edges: DataFrame) -> DataFrame:
+    """(project, src, dst): both directions of the pairs of nodes that depend on each other; one join, no components."""
+    pairs = edges.select("project", "src", "dst").filter("src <> dst").distinct()
+    return pairs.join(pairs.select("project", F.col("dst").alias("src"), F.col("src").alias("dst")), ["project", "src", "dst"], "left_semi")
+
+
 def in_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, id, in_cycle): in a component of two or more."""
     labels = components(nodes, edges)
@@ -124,10 +129,11 @@ def in_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(large, ["project", "scc_id"], "left").select("project", "id", F.col("n").isNotNull().alias("in_cycle"))
 
 
-def bounded_cycles(nodes: DataFrame, edges: DataFrame, max_length: int, excluding: list[str] | None = None) -> DataFrame:
-    """(project, nodes): all simple cycles of 2 to max_length nodes, each turned so that its least id is first.
+def bounded_cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None, excluding: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """(project, nodes): all simple cycles of 2 to max_length nodes (None: any), each turned so that its least id is first.
 
-    Paths grow inside one component, from its node and through larger ids only, so each cycle is found once.
+    Paths grow inside one component, from its node and through larger ids only, so each cycle is found once. With
+    `most`, a project is left alone as soon as it has so many cycles, and the shortest of them are given.
     """
     if excluding:
         nodes = nodes.filter(~F.col("id").isin(excluding))
@@ -136,17 +142,28 @@ def bounded_cycles(nodes: DataFrame, edges: DataFrame, max_length: int, excludin
     pairs = edges.select("project", "src", "dst").filter("src <> dst").distinct()
     inside = pairs.join(label.withColumnRenamed("id", "src"), ["project", "src"]).join(label.select("project", F.col("id").alias("dst"), F.col("scc_id").alias("other")), ["project", "dst"])
     links = stage(inside.filter("scc_id = other").select("project", "src", "dst"), "cycle-links")
-    paths = links.filter("src < dst").select("project", F.array("src", "dst").alias("nodes"))
-    out = None
-    for size in range(2, max_length + 1):
-        paths = stage(paths, "cycle-paths")
+    paths = stage(links.filter("src < dst").select("project", F.array("src", "dst").alias("nodes")), "cycle-paths")
+    out = links.select("project", F.array("src").alias("nodes")).limit(0)
+    found = out.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    for size in count(2):
         last = paths.select("project", "nodes", F.element_at("nodes", 1).alias("dst"), F.element_at("nodes", -1).alias("src"))
-        closed = last.join(links, ["project", "src", "dst"], "left_semi").select("project", "nodes")
-        out = closed if out is None else out.unionByName(closed)
-        if size < max_length:
-            step = last.select("project", "nodes", "src", F.col("dst").alias("first")).join(links, ["project", "src"]).filter("dst > first").filter(~F.array_contains("nodes", F.col("dst")))
-            paths = step.select("project", F.concat("nodes", F.array("dst")).alias("nodes"))
-    return out
+        closed = stage(last.join(links, ["project", "src", "dst"], "left_semi").select("project", "nodes"), "cycles")
+        out = out.unionByName(closed)
+        if size == max_length:
+            break
+        step = last.select("project", "nodes", "src", F.col("dst").alias("first"))
+        if most is not None:
+            found = stage(found.unionByName(closed.groupBy("project").agg(F.count(F.lit(1)).alias("n"))).groupBy("project").agg(F.sum("n").alias("n")), "cycle-counts")
+            step = step.join(found.filter(F.col("n") >= most).select("project"), "project", "left_anti")
+        step = step.join(links, ["project", "src"]).filter("dst > first").filter(~F.array_contains("nodes", F.col("dst")))
+        old, paths = paths, stage(step.select("project", F.concat("nodes", F.array("dst")).alias("nodes")), "cycle-paths")
+        discard(old)
+        if paths.isEmpty():
+            break
+    if most is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.size("nodes"), "nodes"))
+    return out.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
 
 
 def simple_cycles_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, most: int) -> list[list[str]]:
@@ -178,24 +195,20 @@ def simple_cycles_kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, most
 def simple_cycles(nodes: DataFrame, edges: DataFrame, most: int = MAX_CYCLES, excluding: list[str] | None = None) -> DataFrame:
     """(project, nodes): simple cycles of two or more nodes of any length, at most `most` a project (the report's cap).
 
-    The search is exponential by nature and stops at the cap; a project beyond the kernel's size is searched by
-    growing lengths instead until the cap is met.
+    The search is exponential by nature and stops at the cap, project by project: depth first where a task can hold the
+    project, by growing lengths (the shortest cycles first) where it cannot.
     """
     if excluding:
         nodes = nodes.filter(~F.col("id").isin(excluding))
         edges = edges.filter(~F.col("src").isin(excluding) & ~F.col("dst").isin(excluding))
-    edges = edges.select("project", "src", "dst").filter("src <> dst").distinct()
-    if not fits_kernel(edges):
-        length = 2
-        while (found := bounded_cycles(nodes, edges, length).groupBy("project").count().agg(F.min("count")).first()[0] or 0) < most and length < 8:
-            length += 1
-        return bounded_cycles(nodes, edges, length).orderBy(F.size("nodes"), "nodes").limit(most) if found else bounded_cycles(nodes, edges, length)
 
     def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids, src, dst = _positions(pd.concat([v["id"], e["src"], e["dst"]]), e)
         return pd.DataFrame([(v["project"].iloc[0], c) for c in simple_cycles_kernel(ids, src, dst, most)], columns=["project", "nodes"])
 
-    return per_project(nodes.select("project", "id"), edges, kernel, "project string, nodes array<string>").withColumn("nodes", canonical_rotation(F.col("nodes")))
+    small = lambda v, e: per_project(v, e, kernel, "project string, nodes array<string>").withColumn("nodes", canonical_rotation(F.col("nodes")))
+    large = lambda v, e: bounded_cycles(v, e, None, most=most)
+    return by_size(nodes.select("project", "id"), edges.select("project", "src", "dst").filter("src <> dst").distinct(), small, large)
 
 
 def report_cycles(nodes: DataFrame, edges: DataFrame, most: int = MAX_CYCLES, excluding: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Node metrics: degrees, PageRank, betweenness, the composite score and hotspot classes.
 
-PageRank and betweenness have two programs with the same results: one task a project while a project's edges are few
-enough for a task (checked), and a distributed iteration on DataFrames beyond that.
+PageRank and betweenness have two programs with the same results: one task a project while a project's nodes and edges
+are few enough for a task (checked project by project), and a distributed iteration on DataFrames beyond that.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depweave.operators.model import scoring_view
-from depweave.plans.staging import discard, fits_kernel, per_project, stage
+from depweave.plans.staging import by_size, discard, per_project, stage
 
 
 @dataclass(frozen=True)
@@ -47,13 +47,6 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("project", "id").join(counts, ["project", "id"], "left").select("project", "id", F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"))
 
 
-def normalized(value: Column, by: str = "project") -> Column:
-    """Min-max within a project; zero where all values are equal."""
-    span = Window.partitionBy(by)
-    low, high = F.min(value).over(span), F.max(value).over(span)
-    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-
-
 def normalize(table: DataFrame, columns: list[str]) -> DataFrame:
     """norm_<column> for each column: one small aggregate a project, joined back, so no project is sorted as a whole."""
     ends = table.groupBy("project").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
@@ -92,16 +85,16 @@ def pagerank_kernel(src: np.ndarray, dst: np.ndarray, n: int, damping: float, ro
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, distributed: bool | None = None) -> DataFrame:
     """(project, id, pagerank). Parallel edges count, weights do not; idle nodes spread their rank over all nodes."""
-    nodes, edges = nodes.select("project", "id"), edges.select("project", "src", "dst")
-    if distributed is None:
-        distributed = not fits_kernel(edges)
-    if not distributed:
+    def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids, src, dst = _positions(v["id"], e)
+        return pd.DataFrame({"project": v["project"].iloc[0] if len(v) else None, "id": ids, "pagerank": pagerank_kernel(src, dst, len(ids), damping, rounds, tolerance)})
+
+    small = lambda v, e: per_project(v, e, kernel, "project string, id string, pagerank double")
+    large = lambda v, e: _pagerank_by_rounds(v, e, damping, rounds, tolerance)
+    return by_size(nodes.select("project", "id"), edges.select("project", "src", "dst"), small, large, distributed)
 
-        def kernel(v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-            ids, src, dst = _positions(v["id"], e)
-            return pd.DataFrame({"project": v["project"].iloc[0] if len(v) else None, "id": ids, "pagerank": pagerank_kernel(src, dst, len(ids), damping, rounds, tolerance)})
 
-        return per_project(nodes, edges, kernel, "project string, id string, pagerank double")
+def _pagerank_by_rounds(nodes: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
     out = edges.groupBy("project", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
     size = nodes.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
     fixed = stage(nodes.join(out, ["project", "id"], "left").join(size, "project"), "pagerank-nodes")
@@ -159,12 +152,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: int = SOURCES, batc
     Batches of sources run in parallel; each task holds the edges of one project (their number is checked). Larger
     projects go level by level through joins instead.
     """
-    nodes, edges = nodes.select("project", "id"), edges.select("project", "src", "dst")
-    if distributed is None:
-        distributed = not fits_kernel(edges)
-    start = sampled_sources(nodes, sources)
-    if distributed:
-        return _betweenness_by_levels(nodes, edges, start)
+    small = lambda v, e: _betweenness_by_batches(v, e, sampled_sources(v, sources), batch)
+    large = lambda v, e: _betweenness_by_levels(v, e, sampled_sources(v, sources))
+    return by_size(nodes.select("project", "id"), edges.select("project", "src", "dst"), small, large, distributed)
+
+
+def _betweenness_by_batches(nodes: DataFrame, edges: DataFrame, start: DataFrame, batch: int) -> DataFrame:
     numbered = start.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("project").orderBy("id")) - 1) / batch))
     work = numbered.groupBy("project", "batch").agg(F.collect_list("id").alias("sources"), F.max("scale").alias("scale"))
     lists = edges.groupBy("project").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
@@ -224,12 +217,12 @@ def score(table: DataFrame, weights: Weights = Weights()) -> DataFrame:
     return both.withColumn("score", total + F.when(F.col("in_cycle"), F.lit(weights.in_cycle)).otherwise(F.lit(0.0))).drop("norm_betweenness", "norm_pagerank", "norm_in_degree")
 
 
-def compute_metrics(nodes: DataFrame, edges: DataFrame, weights: Weights = Weights(), thresholds: Thresholds = Thresholds()) -> DataFrame:
+def compute_metrics(nodes: DataFrame, edges: DataFrame, weights: Weights = Weights(), thresholds: Thresholds = Thresholds(), rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """All node metrics on the scoring view: (project, id, betweenness, pagerank, in_degree, out_degree, in_cycle, score, hotspot_type)."""
     from depweave.operators.cycles import in_cycle
 
     view = scoring_view(edges)
-    table = degrees(nodes, view).join(pagerank(nodes, view), ["project", "id"]).join(betweenness(nodes, view), ["project", "id"]).join(in_cycle(nodes, view), ["project", "id"])
+    table = degrees(nodes, view).join(pagerank(nodes, view, rounds=rounds, tolerance=tolerance), ["project", "id"]).join(betweenness(nodes, view), ["project", "id"]).join(in_cycle(nodes, view), ["project", "id"])
     scored = score(stage(table, "metrics"), weights).withColumn("hotspot_type", classify(F.col("in_degree"), F.col("betweenness"), thresholds))
     return scored.select("project", "id", "betweenness", "pagerank", "in_degree", "out_degree", "in_cycle", "score", "hotspot_type")
 

@@ -7,6 +7,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from depweave.functions.text import glob_match
 from depweave.plans.staging import discard, stage
@@ -113,20 +114,33 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, most
 def all_paths(edges: DataFrame, start: str, end: str, depth: int = PATH_DEPTH, most: int | None = MAX_PATHS) -> DataFrame:
     """(project, nodes): paths of at most `depth` hops that meet no node twice (but may return to the end, where they stop).
 
-    `most` is the report's cap; None gives all. With start = end the paths are cycles through the node.
+    `most` is the report's cap, project by project, the shortest paths first; None gives all. A project is left alone
+    when it has so many, and a path goes on only to nodes that reach the end in the hops left. With start = end the
+    paths are cycles through the node.
     """
     links = stage(edges.select("project", "src", "dst").distinct(), "path-links")
-    level = links.filter(F.col("src") == start).select("project", F.array("src", "dst").alias("nodes"))
+    ends = links.filter(F.col("dst") == end).select("project", F.lit(end).alias("id")).distinct()
+    near = stage(reach(links, ends, depth, backwards=True).select("project", F.col("id").alias("dst"), "depth"), "path-depth")
+    links = stage(links.join(near, ["project", "dst"]), "path-links")
+    level = stage(links.filter((F.col("src") == start) & (F.col("depth") < depth)).select("project", F.array("src", "dst").alias("nodes")), "paths")
     found = []
     for d in range(1, depth + 1):
-        level = stage(level, "paths")
         found.append(level.filter(F.element_at("nodes", -1) == end))
-        if d < depth:
-            open_paths = level.filter(F.element_at("nodes", -1) != end).withColumn("src", F.element_at("nodes", -1))
-            step = open_paths.join(links, ["project", "src"]).filter(~F.array_contains("nodes", F.col("dst")) | (F.col("dst") == end))
-            level = step.select("project", F.concat("nodes", F.array("dst")).alias("nodes"))
+        if d == depth:
+            break
+        open_paths = level.filter(F.element_at("nodes", -1) != end).withColumn("src", F.element_at("nodes", -1))
+        if most is not None:
+            full = reduce(DataFrame.unionByName, found).groupBy("project").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most)
+            open_paths = open_paths.join(full.select("project"), "project", "left_anti")
+        step = open_paths.join(links, ["project", "src"]).filter(F.col("depth") < depth - d).filter(~F.array_contains("nodes", F.col("dst")) | (F.col("dst") == end))
+        level = stage(step.select("project", F.concat("nodes", F.array("dst")).alias("nodes")), "paths")
+        if level.isEmpty():
+            break
     out = reduce(DataFrame.unionByName, found)
-    return out if most is None else out.orderBy(F.size("nodes"), "nodes").limit(most)
+    if most is None:
+        return out
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.size("nodes"), "nodes"))
+    return out.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank").orderBy(F.size("nodes"), "nodes")
 
 
 def explain(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, assignment: DataFrame, cycles: DataFrame, node: str, shown: int = 10) -> DataFrame:
@@ -138,10 +152,3 @@ def explain(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, assignment:
     total = reached.groupBy("project").agg(F.count(F.lit(1)).alias("transitive_dependent_count"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id"))), lambda x: x["id"]), 1, shown).alias("top_transitive_dependents"))
     out = reduce(lambda a, b: a.join(b, "project", "left"), (peers, side(dependencies(edges, node), "direct_dependencies"), side(dependents(edges, node), "direct_dependents"), total), me)
     return out.withColumn("transitive_dependent_count", F.coalesce("transitive_dependent_count", F.lit(0)))
-
-
-def first_project(answers: DataFrame, order: list[str]) -> DataFrame:
-    """The rows of the first project, in the given order, that has an answer."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("project"))
-    best = answers.agg(F.min(F.when(rank > 0, rank))).first()[0]
-    return answers.filter(F.col("project") == order[best - 1]) if best else answers.limit(0)

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edges of one project that a single task may hold; larger projects take the distributed program.
-KERNEL_EDGES = 1_000_000
+#: Nodes and edges of one project that a single task may hold; larger projects take the distributed program.
+KERNEL_ROWS = 1_000_000
+
+Program = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,13 +52,24 @@ def discard(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def fits_kernel(edges: DataFrame, limit: int = KERNEL_EDGES) -> bool:
-    """Every project's edges are few enough for one task."""
-    most = edges.groupBy("project").count().agg(F.max("count")).first()[0]
-    return (most or 0) <= limit
+def by_size(nodes: DataFrame, edges: DataFrame, kernel: Program, program: Program, distributed: bool | None = None) -> DataFrame:
+    """kernel(nodes, edges) on the projects whose nodes and edges one task may hold, program(nodes, edges) on the others.
+
+    Each project is judged by its own size, so a large one changes nothing for the small ones beside it. `distributed`
+    sends all projects one way.
+    """
+    if distributed is not None:
+        return (program if distributed else kernel)(nodes, edges)
+    sizes = nodes.groupBy("project").count().unionByName(edges.groupBy("project").count()).groupBy("project").agg(F.sum("count").alias("n"))
+    large = stage(sizes.filter(F.col("n") > KERNEL_ROWS).select("project"), "large-projects")
+    if large.isEmpty():
+        discard(large)
+        return kernel(nodes, edges)
+    part = lambda how: (nodes.join(large, "project", how), edges.join(large, "project", how))
+    return kernel(*part("left_anti")).unionByName(program(*part("left_semi")))
 
 
 def per_project(nodes: DataFrame, edges: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel(nodes, edges) once for each project, each in a task of its own. Call it behind fits_kernel()."""
+    """kernel(nodes, edges) once for each project, each in a task of its own. Call it through by_size()."""
     edges = edges.toDF(*edges.columns)  # new column identities: both tables may come from one
     return nodes.groupBy("project").cogroup(edges.groupBy("project")).applyInPandas(kernel, schema)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.operators import communities, cycles, metrics, model, query
+from depweave.plans import staging
 
 STAR, CHAIN, RING, DAG = "b>a c>a d>a e>a", "a>b b>c c>d", "a>b b>c c>a", "a>b b>c"
 
@@ -115,10 +116,84 @@ def test_large_community_is_split(make_graph):
     assert communities.detect(nodes, edges, "labels").select("community_id").distinct().count() >= 2
 
 
-def test_synchronous_labels(make_graph):
-    nodes, edges = make_graph("a1>a2 a2>a3 a3>a1 b1>b2 b2>b3 b3>b1")
-    of = as_dict(communities.spread_labels_distributed(nodes, edges), "community_id")
-    assert of["a1"] == of["a2"] == of["a3"] != of["b1"]
+def clusters(k, size, seed, prefix="n"):
+    """k complete groups of nodes and a few edges between them, as text, and the group of each node."""
+    rng = random.Random(seed)
+    names = [[f"{prefix}{g}_{i:02}" for i in range(size)] for g in range(k)]
+    pairs = [(a, b) for own in names for a in own for b in own if a < b]
+    pairs += [(rng.choice(names[g]), rng.choice(names[(g + 1) % k])) for g in range(k)]
+    return " ".join(f"{a}>{b}" for a, b in pairs), {x: g for g, own in enumerate(names) for x in own}
+
+
+def modularity(pairs, of):
+    """Share of edges inside communities, less what chance would give."""
+    m, degree, inside = len(pairs), {}, sum(of[a] == of[b] for a, b in pairs)
+    for pair in pairs:
+        for x in pair:
+            degree[of[x]] = degree.get(of[x], 0) + 1
+    return inside / m - sum(d * d for d in degree.values()) / (4 * m * m)
+
+
+@pytest.mark.parametrize("method", ["modularity", "labels"])
+def test_distributed_communities(make_graph, monkeypatch, method):
+    """Clear groups come out as they are, single nodes as one, and the modularity is not below the kernel's."""
+    text, group = clusters(8, 4, 4)
+    nodes, edges = make_graph(text, more_nodes=["z1", "z2"])
+    small = as_dict(communities.detect(nodes, edges, method), "community_id")
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 0)
+    runs = [as_dict(communities.detect(nodes, e, method), "community_id") for e in (edges, edges.repartition(3))]
+    assert runs[0] == runs[1] and runs[0].keys() == small.keys()
+    of = runs[0]
+    assert all((of[a] == of[b]) == (group[a] == group[b]) for a in group for b in group)
+    pairs = [p.split(">") for p in text.split()]
+    assert modularity(pairs, of) >= modularity(pairs, small)
+    if method == "modularity":
+        assert of["z1"] == of["z2"] not in {of[x] for x in group}
+
+
+def test_distributed_moves_split_and_adopt(make_graph, monkeypatch):
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 0)
+    clique = " ".join(f"c{i:02}>c{j:02}" for i in range(14) for j in range(i))  # one community above a quarter: divided
+    for method in ("modularity", "labels"):
+        of = as_dict(communities.detect(*make_graph(clique), method), "community_id")
+        assert len(set(of.values())) >= 2 and len(of) == 14
+    of = as_dict(communities.detect(*make_graph("a>b", more_nodes=["x", "y"])), "community_id")
+    assert of["a"] == of["b"] != of["x"] == of["y"]
+
+
+def test_a_large_project_changes_nothing_for_a_small_one(spark, make_graph, monkeypatch):
+    text, _ = clusters(2, 4, 1)
+    small = make_graph(text, project="small")
+    big = make_graph(clusters(4, 12, 2, "b")[0], project="big")
+    alone = {f: sorted(map(tuple, f(*small).collect())) for f in (communities.detect, cycles.components, metrics.pagerank)}
+    nodes, edges = small[0].unionByName(big[0]), small[1].unionByName(big[1])
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 60)
+    for f, want in alone.items():
+        both = f(nodes, edges)
+        assert sorted(tuple(r) for r in both.filter("project = 'small'").select(*f(*small).columns).collect()) == want
+        assert both.select("project").distinct().count() == 2
+
+
+def test_cycles_beyond_the_kernel(spark, make_graph, monkeypatch):
+    """Long cycles are found, and the cap holds project by project."""
+    ring = " ".join(f"r{i:02}>r{(i + 1) % 12:02}" for i in range(12))
+    pairs = " ".join(f"{a}>{b}" for a in "abcd" for b in "abcd" if a != b)
+    nodes, edges = (x.unionByName(y) for x, y in zip(make_graph(ring, project="ring"), make_graph(pairs, project="dense"), strict=True))
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 0)
+    got = cycles.report_cycles(nodes, edges, most=5).collect()
+    assert [r["nodes"] for r in got if r["project"] == "ring"] == [[f"r{i:02}" for i in range(12)]]
+    dense = sorted(r["nodes"] for r in got if r["project"] == "dense")
+    assert dense == [["a", "b"], ["a", "c"], ["a", "d"], ["b", "c"], ["b", "d"]]
+    assert cycles.simple_cycles(nodes, edges).filter("project = 'dense'").count() == 20
+
+
+def test_all_paths_are_capped_by_project(make_graph):
+    mesh = " ".join(f"{a}>{b}" for a in "abcdefg" for b in "abcdefg" if a != b)
+    nodes, edges = make_graph(mesh)
+    other = edges.withColumn("project", F.lit("q"))
+    got = query.all_paths(edges.unionByName(other), "a", "g", 10, 20).groupBy("project").count().collect()
+    assert {r["project"]: r["count"] for r in got} == {"p": 20, "q": 20}
+    assert query.all_paths(edges, "a", "g", 3, None).count() == 1 + 5 + 20
 
 
 def test_paths(spark, make_graph):
