@@ -80,7 +80,7 @@ def r6(c: str):
 
 def flow_edges(spark: SparkSession, sf_dir: str, part: str | None = None) -> DataFrame:
     """Merged edges of the flow graph, or of its part before or after."""
-    raw = graphs.flow_raw(spark, sf_dir)
+    raw = graphs.flow_raw(spark, sf_dir)  # a projection of the events: reading it twice costs two scans and no shuffle
     return model.merge_edges(raw.filter(PARTS[part]) if part else raw)
 
 
@@ -212,7 +212,7 @@ def stub_match(spark, sf_dir):
 def stub_longest(spark, sf_dir):
     stubs = spark.createDataFrame(_STUBS, "prefix string, n int")
     ids = flow(spark, sf_dir)[0].select("id").distinct()
-    hits = ids.join(stubs, text.stub_match(F.col("id"), F.col("prefix")))
+    hits = ids.withColumn("prefix", F.explode(text.stub_candidates(F.col("id")))).join(stubs, "prefix")
     return hits.groupBy("id").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 
@@ -243,35 +243,54 @@ def ranked_hotspots(spark, sf_dir):
     return metrics.ranked_hotspots(scored(*flow(spark, sf_dir)), 5).select("project", "rank", "id", r6("score"))
 
 
-@case(f"""with recursive {BASE}, g as (select src, dst from e where project = 'web'), n as (select src id from g union select dst from g), od as (select src, count(*) k from g group by 1), c as (select count(*)::double n from n),
-pr(it, id, r) as (select 0, id, 1.0 / (select n from c) from n union all
-  select p.it, n.id, 0.15 / any_value(c.n) + 0.85 * (coalesce(sum(case when g.src is not null then p.r / od.k end), 0) + any_value(p.dang) / any_value(c.n))
-  from n cross join c cross join lateral (select q.it it, q.dang dang, u.id pid, u.r r from
-     (select it + 1 it, list(struct_pack(id := id, r := r)) l, sum(case when id not in (select src from g) then r else 0 end) dang from pr where it < 20 group by it) q, lateral (select unnest(q.l) u)) p
-  left join g on g.dst = n.id and g.src = p.pid left join od on od.src = g.src group by p.it, n.id)
-select id, round(r, 9) pagerank from pr where it = 20""")
+def _pagerank_sql(edges: str, nodes: str, rounds: int, name: str) -> str:
+    """CTEs for the PageRank of an edge table after some rounds: <name>."""
+    return f"""{name}_n as (select project, id from {nodes}), {name}_o as (select project, src, count(*) k from {edges} group by 1, 2), {name}_c as (select project, count(*)::double n from {name}_n group by 1),
+{name}_r(it, project, id, r) as (select 0, i.project, i.id, 1.0 / c.n from {name}_n i join {name}_c c on c.project = i.project union all
+  (with last as (select * from {name}_r where it < {rounds}), idle as (select l.project, sum(case when o.k is null then l.r else 0 end) d from last l left join {name}_o o on o.project = l.project and o.src = l.id group by 1),
+    given as (select l.project, g.dst, sum(l.r / o.k) s from last l join {name}_o o on o.project = l.project and o.src = l.id join {edges} g on g.project = l.project and g.src = l.id group by 1, 2)
+  select l.it + 1, l.project, l.id, 0.15 / c.n + 0.85 * (coalesce(x.s, 0) + idle.d / c.n) from last l join {name}_c c on c.project = l.project join idle on idle.project = l.project left join given x on x.project = l.project and x.dst = l.id)),
+{name} as (select project, id, r from {name}_r where it = {rounds})"""
+
+
+def _betweenness_sql(edges: str, name: str) -> str:
+    """CTEs for the exact betweenness of an edge table: <name>. Parallel edges are paths of their own."""
+    return f"""{name}_l as (select project, src, dst, count(*) m from {edges} group by 1, 2, 3), {name}_v as (select project, src id from {name}_l union select project, dst from {name}_l),
+{name}_w(project, s, id, d) as (select project, id, id, 0 from {name}_v union select w.project, w.s, l.dst, w.d + 1 from {name}_w w join {name}_l l on l.project = w.project and l.src = w.id where w.d < 16),
+{name}_d as (select project, s, id, min(d) d from {name}_w group by 1, 2, 3),
+{name}_g(project, s, id, d, sigma) as (select project, id, id, 0, 1.0::double from {name}_v union all select g.project, g.s, l.dst, any_value(g.d) + 1, sum(g.sigma * l.m) from {name}_g g join {name}_l l on l.project = g.project and l.src = g.id
+  join {name}_d d on d.project = g.project and d.s = g.s and d.id = l.dst and d.d = g.d + 1 group by g.project, g.s, l.dst),
+{name}_p as (select a.project, a.id, sum(a.sigma * b.sigma / c.sigma) b from {name}_g a join {name}_g b on b.project = a.project and b.s = a.id join {name}_g c on c.project = a.project and c.s = a.s and c.id = b.id and c.d = a.d + b.d
+  where a.s <> a.id and b.id <> a.id and b.id <> a.s group by 1, 2),
+{name} as (select v.project, v.id, coalesce(p.b, 0) b from {name}_v v left join {name}_p p on p.project = v.project and p.id = v.id)"""
+
+
+@case(f"with recursive {BASE}, {_pagerank_sql('e', 'm_n', 20, 'pr')} select project, id, round(r, 9) pagerank from pr")
 def pagerank_20(spark, sf_dir):
-    nodes, edges = flow(spark, sf_dir)
-    out = metrics.pagerank(nodes.filter("project = 'web'"), edges.filter("project = 'web'"), rounds=20, tolerance=0.0)
-    return out.select("id", F.round("pagerank", 9).alias("pagerank"))
+    out = metrics.pagerank(*flow(spark, sf_dir), rounds=20, tolerance=0.0)
+    return out.select("project", "id", F.round("pagerank", 9).alias("pagerank"))
 
 
-@case(f"""with recursive {BASE}, l as (select src, dst, count(*) m from e where project = 'web' group by 1, 2), v as (select distinct src id from l union select dst from l),
-w(s, id, d) as (select id, id, 0 from v union select w.s, l.dst, w.d + 1 from w join l on l.src = w.id where w.d < 12), ds as (select s, id, min(d) d from w group by 1, 2),
-sg(s, id, d, sigma) as (select id, id, 0, 1.0::double from v union all select sg.s, l.dst, any_value(sg.d) + 1, sum(sg.sigma * l.m) from sg join l on l.src = sg.id join ds on ds.s = sg.s and ds.id = l.dst and ds.d = sg.d + 1 group by sg.s, l.dst),
-p as (select a.id, sum(a.sigma * b.sigma / c.sigma) b from sg a join sg b on b.s = a.id join sg c on c.s = a.s and c.id = b.id and c.d = a.d + b.d where a.s <> a.id and b.id <> a.id and b.id <> a.s group by a.id)
-select v.id, round(coalesce(p.b, 0), 6) betweenness from v left join p on p.id = v.id""")
+@case(f"with recursive {BASE}, {_betweenness_sql('e', 'bc')} select project, id, round(b, 6) betweenness from bc")
 def betweenness(spark, sf_dir):
+    """Exact: every node is a source, so that SQL gives the same; the sampled form is part of full_metrics."""
     nodes, edges = flow(spark, sf_dir)
-    out = metrics.betweenness(nodes.filter("project = 'web'"), edges.filter("project = 'web'"))
-    return out.select("id", r6("betweenness"))
+    return metrics.betweenness(nodes, edges, sources=1 << 40).select("project", "id", r6("betweenness"))
 
 
-@case()
+@case(f"""with recursive {BASE}, sv as (select * from e where confidence_kind <> 'ExpectedExternal'), rc(project, a, b) as (select project, src, dst from sv where src <> dst union select rc.project, rc.a, s.dst from rc join sv s on s.project = rc.project and s.src = rc.b),
+cy as (select distinct f.project, f.a id from rc f join rc g on g.project = f.project and g.a = f.b and g.b = f.a where f.a <> f.b), {_pagerank_sql('sv', 'm_n', 20, 'pr')}, {_betweenness_sql('sv', 'bc')},
+z as (select n.project, n.id, coalesce(bc.b, 0) b, coalesce(pr.r, 0) r, (select count(*) from sv s where s.project = n.project and s.dst = n.id) i, (select count(*) from sv s where s.project = n.project and s.src = n.id) o, cy.id is not null c
+  from m_n n left join bc on bc.project = n.project and bc.id = n.id left join pr on pr.project = n.project and pr.id = n.id left join cy on cy.project = n.project and cy.id = n.id),
+y as (select *, min(b) over w b0, max(b) over w b1, min(r) over w r0, max(r) over w r1, min(i) over w i0, max(i) over w i1 from z window w as (partition by project))
+select project, id, round(b, 6) betweenness, round(r, 9) pagerank, i in_degree, o out_degree, c in_cycle,
+  round(0.4e0 * case when b1 > b0 then (b - b0) / (b1 - b0) else 0 end + 0.2e0 * case when r1 > r0 then (r - r0) / (r1 - r0) else 0 end + 0.2e0 * case when i1 > i0 then (i - i0) * 1.0e0 / (i1 - i0) else 0 end + case when c then 0.2e0 else 0 end, 6) score,
+  case when i > 50 and not b / greatest(i, 1) > 3000 then 'hub' when b / greatest(i, 1) > 3000 and not i > 50 then 'bridge' else 'mixed' end hotspot_type from y""")
 def full_metrics(spark, sf_dir):
+    """All node metrics, PageRank after 20 rounds. Betweenness is sampled beyond 200 nodes a project; the SQL is exact, so it fits up to there."""
     nodes, edges = flow(spark, sf_dir)
-    out = metrics.compute_metrics(nodes, edges)
-    return out.select("project", "id", r6("betweenness"), r6("pagerank"), "in_degree", "out_degree", "in_cycle", r6("score"), "hotspot_type")
+    out = metrics.compute_metrics(nodes, edges, rounds=20, tolerance=0.0)
+    return out.select("project", "id", r6("betweenness"), F.round("pagerank", 9).alias("pagerank"), "in_degree", "out_degree", "in_cycle", r6("score"), "hotspot_type")
 
 
 # --- neighbours and paths ----------------------------------------------------------------------------------------
@@ -303,38 +322,44 @@ def bfs_levels(spark, sf_dir):
     return query.reach(edges, starts, 10).groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TWO = f"g as (select lpad(cast(src as varchar), 2, '0') src, lpad(cast(dst as varchar), 2, '0') dst from ({graphs.SCC_EDGES.format(orders='orders')}))"
+def _orders_sql(edges: str) -> str:
+    return f"g as (select project, lpad(cast(src as varchar), 9, '0') src, lpad(cast(dst as varchar), 9, '0') dst from ({edges.format(orders='orders')}))"
+
+
+_ORDERS = _orders_sql(graphs.SCC_EDGES)
+_AT = "lpad('{}', 9, '0')".format
 
 
-@case(f"with recursive {_TWO}, t(id, depth) as (select '00', 0 union select g.dst, t.depth + 1 from t join g on g.src = t.id where t.depth < 60) select id, cast(min(depth) as bigint) hops from t group by id")
+@case(f"with recursive {_ORDERS}, t(id, depth) as (select {_AT(0)}, 0 union select g.dst, t.depth + 1 from t join g on g.project = 'p0' and g.src = t.id where t.depth < 40), u as (select id, cast(min(depth) as bigint) hops from t group by id) select id, hops from u where hops < 40")
 def shortest_hops(spark, sf_dir):
     edges = graphs.scc_edges(spark, sf_dir)
-    starts = spark.createDataFrame([("orders", "00")], "project string, id string")
-    return query.reach(edges, starts, 60).select("id", F.col("depth").alias("hops"))
+    starts = spark.createDataFrame([("p0", "0" * 9)], "project string, id string")
+    return query.reach(edges, starts, 39).select("id", F.col("depth").alias("hops"))
 
 
-@case(f"""with recursive {_TWO}, p(nodes) as (select [src, dst] from g where src = '31' union all select list_append(p.nodes, g.dst) from p join g on g.src = p.nodes[-1]
-  where len(p.nodes) <= 4 and p.nodes[-1] <> '01' and (not list_contains(p.nodes, g.dst) or g.dst = '01')) select array_to_string(nodes, '>') path from p where nodes[-1] = '01'""")
+@case(f"""with recursive {_ORDERS}, p(nodes) as (select [src, dst] from g where src = {_AT(31)} union all select list_append(p.nodes, g.dst) from p join g on g.src = p.nodes[-1]
+  where len(p.nodes) <= 4 and p.nodes[-1] <> {_AT(1)} and (not list_contains(p.nodes, g.dst) or g.dst = {_AT(1)})) select array_to_string(nodes, '>') path from p where nodes[-1] = {_AT(1)}""")
 def all_paths_d4(spark, sf_dir):
-    out = query.all_paths(graphs.scc_edges(spark, sf_dir), "31", "01", depth=4, most=None)
+    out = query.all_paths(graphs.scc_edges(spark, sf_dir), "31".zfill(9), "1".zfill(9), depth=4, most=None)
     return out.select(F.array_join("nodes", ">").alias("path"))
 
 
 # --- cycles ------------------------------------------------------------------------------------------------------
 
-_SCC2 = "rc(a, b) as (select src, dst from gg union select rc.a, gg.dst from rc join gg on gg.src = rc.b), v as (select src id from gg union select dst from gg), sc as (select v.id, least(v.id, min(f.b)) scc_id from v join rc f on f.a = v.id join rc k on k.a = f.b and k.b = f.a group by v.id)"
+_SCC2 = "rc(a, b) as (select src, dst from gg union select rc.a, gg.dst from rc join gg on gg.src = rc.b), v as (select project, src id from gg union select project, dst from gg), sc as (select v.project, v.id, least(v.id, min(f.b)) scc_id from v join rc f on f.a = v.id join rc k on k.a = f.b and k.b = f.a group by v.project, v.id)"
+_OUT = [1, 2, 7, 101]
 
 
-@case(f"with recursive {_TWO}, gg as (select * from g), {_SCC2} select scc_id, string_agg(id, ',' order by id) nodes from sc group by scc_id having count(*) > 1")
+@case(f"with recursive {_ORDERS}, gg as (select * from g), {_SCC2} select project, scc_id, string_agg(id, ',' order by id) nodes from sc group by project, scc_id having count(*) > 1")
 def scc(spark, sf_dir):
     edges = graphs.scc_edges(spark, sf_dir)
-    return cycles.find_sccs(graphs_nodes(edges), edges).select("scc_id", F.array_join("nodes", ",").alias("nodes"))
+    return cycles.find_sccs(graphs_nodes(edges), edges).select("project", "scc_id", F.array_join("nodes", ",").alias("nodes"))
 
 
-@case(f"with recursive {_TWO}, gg as (select * from g where src not in ('01', '02', '07') and dst not in ('01', '02', '07')), {_SCC2} select scc_id, string_agg(id, ',' order by id) nodes from sc group by scc_id having count(*) > 1")
+@case(f"with recursive {_ORDERS}, gg as (select * from g where cast(src as int) not in (1, 2, 7, 101) and cast(dst as int) not in (1, 2, 7, 101)), {_SCC2} select project, scc_id, string_agg(id, ',' order by id) nodes from sc group by project, scc_id having count(*) > 1")
 def scc_excluding(spark, sf_dir):
     edges = graphs.scc_edges(spark, sf_dir)
-    return cycles.find_sccs(graphs_nodes(edges), edges, excluding=["01", "02", "07"]).select("scc_id", F.array_join("nodes", ",").alias("nodes"))
+    return cycles.find_sccs(graphs_nodes(edges), edges, excluding=[str(x).zfill(9) for x in _OUT]).select("project", "scc_id", F.array_join("nodes", ",").alias("nodes"))
 
 
 @case(f"with recursive {BASE}, {SCC}, z as (select project, scc_id, count(*) n from sc group by 1, 2) select sc.project, sc.id, z.n > 1 in_cycle from sc join z on z.project = sc.project and z.scc_id = sc.scc_id")
@@ -345,15 +370,17 @@ def in_cycle(spark, sf_dir):
 _CYCLES3 = "c2 as (select a.src x, a.dst y from g a join g b on b.src = a.dst and b.dst = a.src where a.src < a.dst), c3 as (select a.src x, a.dst y, b.dst z from g a join g b on b.src = a.dst join g c on c.src = b.dst and c.dst = a.src where a.src < a.dst and a.src < b.dst and a.dst <> b.dst)"
 
 
-@case(f"with {_TWO}, {_CYCLES3} select x || '>' || y path from c2 union all select x || '>' || y || '>' || z from c3")
+@case(f"with {_ORDERS}, {_CYCLES3} select x || '>' || y path from c2 union all select x || '>' || y || '>' || z from c3")
 def cycles_len3(spark, sf_dir):
     edges = graphs.scc_edges(spark, sf_dir)
     return cycles.bounded_cycles(graphs_nodes(edges), edges, 3).select(F.array_join("nodes", ">").alias("path"))
 
 
-@case()
+@case(f"""with recursive {_orders_sql(graphs.LAST_EDGES)}, w(project, nodes) as (select project, [src, dst] from g union all select w.project, list_append(w.nodes, g.dst) from w join g on g.src = w.nodes[-1] where w.nodes[-1] > w.nodes[1] and not list_contains(w.nodes[:-2], w.nodes[-1]))
+select project, array_to_string(nodes[:-2], '>') path from w where nodes[-1] = nodes[1]""")
 def simple_cycles_500(spark, sf_dir):
-    edges = graphs.scc_edges(spark, sf_dir)
+    """Cycles of any length, below the cap of 500 a project."""
+    edges = graphs.scc_edges(spark, sf_dir, graphs.LAST_EDGES)
     return cycles.report_cycles(graphs_nodes(edges), edges).select("project", F.array_join("nodes", ">").alias("path"))
 
 
@@ -585,8 +612,7 @@ select project, src, dst, kind, confidence, confidence_kind, score, concat_ws(';
   case when hub then 'peripheral→hub' end, case when sh or th then 'touches hotspot `' || case when th then dst else src end || '`' end) reasons from y where score >= 3""")
 def smell_edges(spark, sf_dir):
     nodes, edges = flow(spark, sf_dir)
-    pairs = cycles.cycle_pairs(cycles.bounded_cycles(nodes, edges, 2))
-    out = smells.smells(edges, scored(nodes, edges), pairs)
+    out = smells.smells(edges, scored(nodes, edges), cycles.two_cycle_pairs(edges))
     return out.drop("drift_new").withColumn("reasons", F.array_join("reasons", "; "))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depweave.functions.text import stub_match
+from depweave.functions.text import stub_candidates
 
 NODE_COLUMNS = ("project", "id", "kind", "file_path", "language", "line", "is_local", "alternative_paths")
 EDGE_COLUMNS = ("project", "src", "dst", "kind", "weight", "line", "confidence", "confidence_kind")
@@ -71,7 +71,8 @@ def resolved_confidence(edges: DataFrame, stubs: DataFrame | None = None) -> Dat
         expected = edges.withColumn("__expected", F.lit(False))
     else:
         targets = edges.filter("not is_local").select("project", "dst").distinct()
-        hit = targets.join(stubs, "project").filter(stub_match(F.col("dst"), F.col("prefix"))).select("project", "dst").distinct().withColumn("__expected", F.lit(True))
+        possible = targets.withColumn("prefix", F.explode(stub_candidates(F.col("dst"))))
+        hit = possible.join(stubs.select("project", "prefix"), ["project", "prefix"], "left_semi").select("project", "dst").distinct().withColumn("__expected", F.lit(True))
         expected = edges.join(hit, ["project", "dst"], "left").withColumn("__expected", F.coalesce("__expected", F.lit(False)))
     defines = F.col("kind") == "Defines"
     lower = F.least("confidence", "resolver_confidence")

@@ -12,14 +12,23 @@ HOT, FLOOR = 10, 3
 PERIPHERAL, HUB = 2, 5
 
 
+def top_of_each(metrics: DataFrame, n: int) -> DataFrame:
+    """The rows (project, id) of the n highest scores of each project (ties by id): first in parts of a project, then of those."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("project", *keys).orderBy(F.desc("score"), "id"))
+    few = metrics.select("project", "id", "score", part.alias("part")).withColumn("r", rank("part")).filter(F.col("r") <= n)
+    return few.withColumn("r", rank()).filter(F.col("r") <= n).select("project", "id")
+
+
 def smells(edges: DataFrame, metrics: DataFrame, pairs: DataFrame, top: int | None = None, new_nodes: DataFrame | None = None) -> DataFrame:
     """edges with a score and reasons. metrics(project, id, score, in_degree, out_degree, community_id); pairs: cycle_pairs().
 
     Ambiguous 3, Inferred 2, Extracted 1; across communities 2; in a cycle 2; periphery to hub 1; touches one of the ten
     hottest nodes 1. Edges from 3 up; by score, edges at new nodes first, then by source and target.
     """
-    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "id"))
-    info = metrics.select("project", "id", (F.col("in_degree") + F.col("out_degree")).alias("degree"), F.coalesce("community_id", F.lit(0)).alias("c"), (rank <= HOT).alias("hot"))
+    hottest = top_of_each(metrics, HOT).select("project", "id", F.lit(True).alias("hot"))
+    info = metrics.select("project", "id", (F.col("in_degree") + F.col("out_degree")).alias("degree"), F.coalesce("community_id", F.lit(0)).alias("c"))
+    info = info.join(hottest, ["project", "id"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     side = lambda end, tag: info.select("project", F.col("id").alias(end), *[F.col(x).alias(f"{tag}_{x}") for x in ("degree", "c", "hot")])
     both = edges.join(side("src", "s"), ["project", "src"], "left").join(side("dst", "t"), ["project", "dst"], "left").na.fill({"s_degree": 0, "t_degree": 0, "s_c": 0, "t_c": 0, "s_hot": False, "t_hot": False})
     both = both.join(pairs.withColumn("looped", F.lit(True)), ["project", "src", "dst"], "left").withColumn("looped", F.coalesce("looped", F.lit(False)))

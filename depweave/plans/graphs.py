@@ -10,7 +10,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Raw edge records from consecutive events of one type; `project` and `half` split them in two.
+#: Raw edge records, one for each event: from its user to another one whose number lies up to 30 above or below, by the
+#: event's number. Every row is an edge of its own, so nothing is sorted or shuffled to make the records.
 FLOW_RAW = """
 select case when event_type in ('view', 'click') then 'web' else 'app' end project,
        concat('app.m', cast(u % 7 as string), '.x', cast(cast(floor(u / 40) as bigint) as string), '.u', cast(u % 40 as string)) src,
@@ -20,10 +21,9 @@ select case when event_type in ('view', 'click') then 'web' else 'app' end proje
        case k % 4 when 0 then 1.0e0 when 1 then 0.9e0 when 2 then 0.7e0 else 0.5e0 end confidence,
        case when k % 8 = 3 then 'ExpectedExternal' when k % 4 = 3 then 'Ambiguous' when k % 4 = 2 then 'Inferred' else 'Extracted' end confidence_kind,
        dt
-from (select event_id, event_type, user_id u, lead(user_id) over (partition by event_type order by ts, event_id) v,
+from (select event_id, event_type, user_id u, abs(user_id + (event_id * 7919 + cast(floor(event_id / 61) as bigint)) % 61 - 30) v,
              cast(floor(event_id / 10) as bigint) k, cast(ts as date) dt
-      from {events} where event_id % 10 = 0) h
-where v is not null
+      from {events}) h
 """
 
 #: Nodes of the flow graph from a table of ids: kind and locality follow the id.
@@ -35,7 +35,21 @@ select project, id,
 from {ids}
 """
 
-SCC_EDGES = "select distinct s src, d dst from (select o_custkey % 50 s, (o_custkey * 7 + o_orderkey) % 50 d from {orders} where o_orderkey % 80 = 3) t where s <> d"
+#: Cyclic graphs from all orders, a project for each thousand customers: an order ties its customer to another one of
+#: the same fifty, every eleventh order to one of the fifty after it, so that there are many components.
+SCC_EDGES = """
+select distinct concat('p', cast(cast(floor(s / 1000) as bigint) as string)) project, s src, d dst
+from (select o_custkey s, cast(floor(o_custkey / 50) as bigint) * 50 + (o_custkey * 7 + o_orderkey) % 50
+               + case when o_orderkey % 11 = 0 and o_custkey % 1000 < 950 then 50 else 0 end d from {orders}) t
+where s <> d
+"""
+
+#: The last order of each customer only: every node has one way out, so a project of a thousand has few cycles.
+LAST_EDGES = """
+select concat('p', cast(cast(floor(s / 1000) as bigint) as string)) project, s src, d dst
+from (select o_custkey s, cast(floor(o_custkey / 50) as bigint) * 50 + (o_custkey * 7 + max(o_orderkey)) % 50 d from {orders} group by o_custkey) t
+where s <> d
+"""
 
 
 def flow_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +62,11 @@ def flow_nodes(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.sql(FLOW_NODES, ids=ids).withColumn("alternative_paths", F.array().cast("array<string>"))
 
 
-def scc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph with several components: edges(project, src, dst), ids as strings of two digits."""
-    out = spark.sql(SCC_EDGES, orders=read(spark, sf_dir, "orders"))
-    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0").alias(c)
-    return out.select(F.lit("orders").alias("project"), two("src"), two("dst"))
+def scc_edges(spark: SparkSession, sf_dir: str, sql: str = SCC_EDGES) -> DataFrame:
+    """Cyclic graphs with several components: edges(project, src, dst), ids as strings of nine digits."""
+    out = spark.sql(sql, orders=read(spark, sf_dir, "orders"))
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 9, "0").alias(c)
+    return out.select("project", padded("src"), padded("dst"))
 
 
 def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
