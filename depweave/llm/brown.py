@@ -34,8 +34,8 @@ from depweave.llm.common import arrow_batch, crc_remainder, discard, schema_of,
 ITEMS, ENDINGS, CLASSES, HEAD = 1_000, 255, 48, 65_536
 SWEEPS, DELTA, SEED = 8, 0.1, 42
 HOLD_OUT_MODULUS, HOLD_OUT = 10, 0
-#: Bytes of text that a task takes apart at once, and counts that it holds before it hands them on.
-BLOCK, FLUSH = 6_000_000, 1_000_000
+#: Bytes of text that a task takes apart at once, and counts that it hands on at once.
+BLOCK, FLUSH = 1_500_000, 250_000
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -136,76 +136,68 @@ def before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([shifted, last])
 
 
-#: The place of the end of a text among the keys of the head's words.
-END = -1
-
-
-def context_counts(texts: DataFrame, items: Items) -> tuple[DataFrame, DataFrame]:
-    """How often each word follows each item, over all texts, in one pass.
-
-    Gives cells(key, left, n), where key is a word of the head, END or len(head) + an ending (all words outside the
-    head together), and found, whose rows with a word are (word, left, n) outside the head. Both are staged.
-    """
-    size, heads = items.size, len(items.words)
-    schema = schema_of("word string, key int, left int, n long")
+def bigram_counts(texts: DataFrame, items: Items) -> np.ndarray:
+    """Counts of item pairs over all texts, (size, size): [before, after]; item 0 stands before and after each text."""
+    size, schema = items.size, schema_of("cell int, n long")
     sent = texts.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, count = sent.value, [], 0
-
-        def cells() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-            n = np.bincount(n, weights=np.concatenate([n for _, n in held]), minlength=len(pairs)).astype(np.int64)
-            return arrow_batch({"word": pa.nulls(len(pairs), pa.string()), "key": pa.array(pairs // size - 1), "left": pa.array(pairs % size), "n": pa.array(n)}, schema)
-
+        own, total = sent.value, np.zeros(size * size, np.int64)
         for batch in batches:
             for _, block in blocks(batch.column(0)):
                 words, codes, sizes = coded(block)
-                at, item = own.look_up(words)
-                left = before(item[codes], sizes)
-                key = np.where(at >= 0, at, heads + item - 1 - own.own)
-                pairs = (np.concatenate([key[codes], np.full(len(sizes), END)]) + 1) * size + left
-                held.append(np.unique(pairs, return_counts=True))
-                count += len(held[-1][0])
-                rare = np.flatnonzero(at[codes] < 0)
-                pairs, n = np.unique(codes[rare] * size + left[rare], return_counts=True)
-                yield arrow_batch({"word": words.take(pa.array(pairs // size)), "key": pa.nulls(len(pairs), pa.int32()), "left": pa.array(pairs % size), "n": pa.array(n)}, schema)
-                if count >= FLUSH:
-                    yield cells()
-                    held.clear()
-                    count = 0
-        if held:
-            yield cells()
+                item = own.look_up(words)[1][codes]
+                after = np.concatenate([item, np.zeros(len(sizes), np.int64)])
+                total += np.bincount(before(item, sizes) * size + after, minlength=size * size)
+        for cells, n in _some(total):
+            yield arrow_batch({"cell": cells, "n": n}, schema)
 
-    found = stage(texts.select("text").mapInArrow(run, schema), "brown-contexts")
-    cells = stage(found.filter("key is not null").groupBy("key", "left").agg(F.sum("n").alias("n")), "brown-cells")
-    return cells, found
+    return _gathered(texts.select("text").mapInArrow(run, schema), size * size).reshape(size, size)
 
 
-def _sums(table: DataFrame, width: int, place) -> np.ndarray:
-    """The counts of a staged table of (key, left, n), added up by place(keys, lefts) in an array of that width."""
-    schema = schema_of("cell int, n long")
+def _some(total: np.ndarray) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The places and values of what is not zero, in parts."""
+    some = np.flatnonzero(total)
+    for i in range(0, len(some), FLUSH):
+        yield pa.array(some[i : i + FLUSH]), pa.array(total[some[i : i + FLUSH]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for batch in batches:
-            key, left, n = (batch.column(i).to_numpy() for i in range(3))
-            cell = place(key.astype(np.int64), left.astype(np.int64))
-            total += np.bincount(cell[cell >= 0], weights=n[cell >= 0], minlength=width).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield arrow_batch({"cell": pa.array(some), "n": pa.array(total[some])}, schema)
 
-    found = table.select("key", "left", "n").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def _gathered(cells: DataFrame, width: int) -> np.ndarray:
+    """The sums of (cell, n) as an array of that width, which bounds what reaches the driver."""
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(width, np.int64)
     out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def bigram_counts(cells: DataFrame, items: Items) -> np.ndarray:
-    """Counts of item pairs, (size, size): [before, after]."""
-    size = items.size
-    of_key = np.concatenate([[0], items.item, 1 + items.own + np.arange(ENDINGS)])
-    return _sums(cells, size * size, lambda key, left: left * size + of_key[key + 1]).reshape(size, size)
+def context_counts(texts: DataFrame, items: Items, of: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """How often each word follows each class of context (of: by item), over all texts, in one pass.
+
+    Gives the counts (1 + head, classes) of the end of a text and of the words of the head, and a staged table
+    (word, left, n) of all other words; tasks count first.
+    """
+    k, heads = int(of.max(initial=0)) + 1, len(items.words)
+    schema = schema_of("word string, cell int, n long")
+    sent = texts.sparkSession.sparkContext.broadcast((items, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (own, classes), total = sent.value, np.zeros((heads + 1) * k, np.int64)
+        for batch in batches:
+            for _, block in blocks(batch.column(0)):
+                words, codes, sizes = coded(block)
+                at, item = own.look_up(words)
+                at, left = at[codes], before(classes[item[codes]], sizes)
+                known = at >= 0
+                key = np.concatenate([at[known] + 1, np.zeros(len(sizes), np.int64)])
+                cells, n = np.unique(key * k + np.concatenate([left[: len(codes)][known], left[len(codes) :]]), return_counts=True)
+                total[cells] += n
+                pairs, n = np.unique(codes[~known] * k + left[: len(codes)][~known], return_counts=True)
+                yield arrow_batch({"word": words.take(pa.array(pairs // k)), "cell": pa.array(pairs % k), "n": pa.array(n)}, schema)
+        for cells, n in _some(total):
+            yield arrow_batch({"word": pa.nulls(len(n), pa.string()), "cell": cells, "n": n}, schema)
+
+    found = stage(texts.select("text").mapInArrow(run, schema), "brown-contexts")
+    return _gathered(found.filter("word is null").select("cell", "n"), (heads + 1) * k).reshape(heads + 1, k), found
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -289,7 +281,7 @@ def assign_rest(rest: DataFrame, of: np.ndarray, transition: np.ndarray, emissio
         for batch in batches:
             if not len(batch):
                 continue
-            words, left, n = batch.column(0), of[batch.column(1).to_numpy()], batch.column(2).to_numpy()
+            words, left, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             fresh = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
             group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
             counts = np.bincount(group * k + left, weights=n, minlength=len(first) * k).reshape(-1, k)
@@ -366,8 +358,7 @@ def fit(texts: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head:
     total = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     items = Items.of(frequent(vocabulary, head), item_count)
     discard(vocabulary)
-    cells, found = context_counts(texts, items)
-    counts = bigram_counts(cells, items)
+    counts = bigram_counts(texts, items)
     of = exchange(counts, classes)
     k, heads, own = classes + 1, len(items.words), items.own
     one = np.zeros((items.size, k))
@@ -375,19 +366,18 @@ def fit(texts: DataFrame, item_count: int = ITEMS, classes: int = CLASSES, head:
     # the class of each item, and distinct words by class, before the sweep
     kinds = np.bincount(of[items.item], minlength=k) if heads else np.zeros(k)
     transition, emission = _log_model(one.T @ counts @ one, kinds)
-    # words of the head: counts by class before them
-    width = heads + 1
-    lefts = _sums(cells, width * k, lambda key, left: np.where(key < heads, (key + 1) * k + of[left], -1)).reshape(width, k)
+    found_lefts, found = context_counts(texts, items, of)
+    lefts = np.zeros((heads + 1, k), np.int64)
+    lefts[:, : found_lefts.shape[1]] = found_lefts
     own_class = of[items.item] if heads else np.zeros(0, np.int64)
     if sweep and heads > own:
         own_class = np.concatenate([own_class[:own], best_classes(lefts[own + 1 :].astype(float), transition, emission)])
-    table = assign_rest(found.filter("word is not null").select("word", "left", "n"), of, transition, emission, sweep, 1 + own)
+    table = assign_rest(found.filter("word is not null").select("word", F.col("cell").alias("left"), "n"), of, transition, emission, sweep, 1 + own)
     pair, kinds = _rest_sums(table, k)
     pair, kinds = pair.astype(float), kinds + np.bincount(own_class, minlength=k)
     pair[:, 0] += lefts[0]
     np.add.at(pair.T, own_class, lefts[1:])
     transition, emission = _log_model(pair, kinds)
-    discard(cells)
     discard(found)
     return Model(items, of, own_class, transition, emission, int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends), table.select("word", "n", "class")
 

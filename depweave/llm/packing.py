@@ -32,7 +32,7 @@ from depweave.llm.common import arrow_batch, discard, schema_of, stage
 CAPACITY, END_ID = 1024, 2
 SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 8192, 2, 2, 6, 16
 #: Text chunks whose ids a worker process keeps, and the bytes of text that it turns into ids at once.
-CACHE, BLOCK = 250_000, 4_000_000
+CACHE, BLOCK = 250_000, 2_500_000
 #: A bin of the other parent is well filled from GOOD of its capacity on; below LOOSE it is opened in the child.
 GOOD, LOOSE = 63 / 64, 7 / 8
 
