@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from depweave import catalog
+from depweave import catalog, catalog_code  # noqa: F401  (registers its queries in the catalog)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
