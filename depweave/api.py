@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import time
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ from depweave.operators import communities, contracts, cycles, drift, extract, h
 from depweave.plans.staging import stage
 from depweave.sources import files, manifests, orm, snapshots
 from depweave.sources.config import Config, Project, barrel_exclusions
+from depweave.streaming import watch
 
 TEMPLATE = """[settings]
 output = "./report"
@@ -74,9 +77,17 @@ def _context(project: Project, prefix: str) -> tuple[extract.Context, list[tuple
     return extract.Context(os.path.normpath(project.repo), prefix, manifests.go_module(go) if go else None, aliases), manifests.psr4_mappings(composer) if composer else []
 
 
-def load(spark: SparkSession, config: Config, cache: DataFrame | None = None, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, parsed) of the workspace. `cache` holds earlier parses; `only` names projects."""
-    parts, contexts, languages, stubs = [], {}, [], []
+def _cache_path(root: str, project: str) -> str:
+    return os.path.abspath(os.path.join(root, project, ".extract-cache"))
+
+
+def load(spark: SparkSession, config: Config, cache: str | None = None, only: list[str] | None = None, force: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, parsed) of the workspace; `only` names projects.
+
+    `cache` is a report folder whose projects keep their parses (on a cluster: one that all machines see). Files with
+    the same path, content, version and prefix are not parsed again, unless `force` is set; the cache is renewed.
+    """
+    parts, contexts, languages, stubs, keys = [], {}, [], [], {}
     for p in config.projects:
         if only and p.name not in only:
             continue
@@ -86,18 +97,23 @@ def load(spark: SparkSession, config: Config, cache: DataFrame | None = None, on
             row = files.detect_prefix(found).first()
             prefix = row["prefix"] if row else ""
         ctx, psr4 = _context(p, prefix)
-        contexts[p.name] = ctx
-        parts.append(files.discover(spark, p.name, p.repo, list(p.languages), prefix, config.exclude, psr4))
+        contexts[p.name], keys[p.name] = ctx, p.local_prefix.cache_key or prefix
+        found = files.discover(spark, p.name, p.repo, list(p.languages), prefix, config.exclude, psr4)
+        held = None
+        if cache and not force and os.path.isdir(_cache_path(cache, p.name)):
+            found, held = files.split_cached(found, spark.read.schema(extract.PARSED + ", version int, prefix_key string").parquet(_cache_path(cache, p.name)), keys[p.name])
+        parts.append(extract.parse_files(found) if held is None else extract.parse_files(found).unionByName(held))
         languages.append((p.name, p.languages[0]))
         stubs += [(p.name, s) for s in (*config.stubs, *p.stubs)]
     if not parts:
         raise ValueError(f"no such project: {', '.join(only or [])}")
-    found = reduce(DataFrame.unionByName, parts)
-    todo, held = files.split_cached(found, cache)
-    parsed = extract.parse_files(todo)
-    parsed = stage(parsed if held is None else parsed.unionByName(held.select(*parsed.columns)), "parsed-files")
+    parsed = stage(reduce(DataFrame.unionByName, parts), "parsed-files")
+    for name, key in keys.items() if cache else ():
+        own = parsed.filter(F.col("project") == name).withColumn("version", F.lit(files.CACHE_VERSION)).withColumn("prefix_key", F.lit(key))
+        own.write.mode("overwrite").parquet(_cache_path(cache, name))
     known = spark.createDataFrame(stubs, "project string, prefix string") if stubs else None
-    nodes, edges = extract.build_graph(parsed, contexts, known, spark.createDataFrame(languages, "project string, language string"))
+    across = config.workspace_reexports and len(config.projects) > 1 and any("TypeScript" in p.languages for p in config.projects)
+    nodes, edges = extract.build_graph(parsed, contexts, known, spark.createDataFrame(languages, "project string, language string"), across)
     return stage(nodes, "nodes"), stage(edges, "edges"), parsed
 
 
@@ -106,35 +122,127 @@ def analyze(config: Config, nodes: DataFrame, edges: DataFrame, weights: metrics
     scored = metrics.compute_metrics(nodes, edges, weights or config.weights, config.thresholds)
     assignment = stage(communities.detect(nodes, edges), "communities")
     table = stage(scored.join(assignment, ["project", "id"], "left").na.fill({"community_id": 0}), "analysis")
-    outside = [x for p in config.projects for x in barrel_exclusions(config, p)]
-    loops = stage(cycles.report_cycles(nodes, edges, excluding=outside or None), "cycles")
+    outside = [(p.name, x) for p in config.projects for x in barrel_exclusions(config, p)]
+    kept = lambda t, *ends: t.filter(reduce(lambda a, b: a & b, [~((F.col("project") == p) & (F.col(c) == x)) for p, x in outside for c in ends])) if outside else t
+    loops = stage(cycles.report_cycles(kept(nodes, "id"), kept(edges, "src", "dst")), "cycles")
     return Workspace(config, nodes, edges, table, assignment, stage(communities.communities(assignment, edges), "groups"), loops)
 
 
-def workspace(spark: SparkSession, config: Config, cache: DataFrame | None = None, only: list[str] | None = None, weights: metrics.Weights | None = None) -> Workspace:
-    nodes, edges, _ = load(spark, config, cache, only)
+def workspace(spark: SparkSession, config: Config, cache: str | None = None, only: list[str] | None = None, weights: metrics.Weights | None = None, force: bool = False) -> Workspace:
+    nodes, edges, _ = load(spark, config, cache, only, force)
     return analyze(config, nodes, edges, weights)
 
 
-def run(spark: SparkSession, config: Config, output: str | None = None, formats: list[str] | None = None, now: int | None = None) -> Workspace:
-    """Everything: reports of all projects, a history snapshot each, old folders pruned, the workspace summary."""
-    w, root = workspace(spark, config), output or config.output
-    taken = now or time.time_ns()
+def extract_graphs(spark: SparkSession, config: Config, output: str | None = None, force: bool = False) -> list[str]:
+    """graph.json of every project (and the cache), nothing else."""
+    root = output or config.output
+    nodes, edges, _ = load(spark, config, root, force=force)
+    own = lambda t, p: t.filter(F.col("project") == p.name)
+    return [sinks.write_lines(sinks.graph_json(own(nodes, p), own(edges, p)), os.path.join(root, p.name, "graph.json")) for p in config.projects]
+
+
+def analyze_graphs(spark: SparkSession, config: Config, output: str | None = None, force: bool = False) -> Workspace:
+    """analysis.json (without the allow-list) and the two CSV files of every project."""
+    root = output or config.output
+    w = workspace(spark, config, root, force=force)
     for p in config.projects:
+        t, at = w.of(p.name), os.path.join(root, p.name)
+        sinks.write_lines(sinks.analysis_json(t["metrics"], t["edges"], t["communities"], t["cycles"]), os.path.join(at, "analysis.json"))
+        sinks.write_all(at, p.name, t, ["csv"])
+    return w
+
+
+def report(spark: SparkSession, config: Config, output: str | None = None, formats: list[str] | None = None, now: int | None = None, force: bool = False, only: list[str] | None = None, ignore_allowlist: bool = False) -> Workspace:
+    """Reports of all projects (or `only` some), a history snapshot each; then old folders are pruned and the summary is written."""
+    root, taken = output or config.output, now or time.time_ns()
+    w = workspace(spark, config, root, only, force=force)
+    chosen = [p for p in config.projects if not only or p.name in only]
+    for p in chosen:
         t = w.of(p.name)
         listed = None
-        if config.allowlist:
-            listed = [r["id"] for r in t["nodes"].filter(allowlisted(F.col("id"), list(config.allowlist))).select("id").orderBy("id").toLocalIterator()]
+        if config.allowlist and not ignore_allowlist:
+            rows = t["nodes"].filter(allowlisted(F.col("id"), list(config.allowlist))).select("id").orderBy("id")
+            listed = (r["id"] for r in rows.toLocalIterator())
         sinks.write_all(os.path.join(root, p.name), p.name, t, formats or config.formats, listed)
         members = t["communities"].select("project", "community_id", F.explode("members").alias("id"), "cohesion")
         snap = history.snapshot(t["nodes"], t["edges"], t["metrics"], members, t["cycles"], taken)
         sinks.write_lines((r["j"] for r in snap.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()), os.path.join(root, p.name, "history", f"{taken}.json"))
-    sinks.prune(root, [p.name for p in config.projects])
-    if len(config.projects) > 1:
-        sinks.write_lines([summary_json(w)], os.path.join(root, "workspace-summary.json"))
+    if len(chosen) == len(config.projects):
+        sinks.prune(root, [p.name for p in config.projects])
+        if len(chosen) > 1:
+            sinks.write_lines([summary_json(w)], os.path.join(root, "workspace-summary.json"))
     return w
 
 
+def run(spark: SparkSession, config: Config, output: str | None = None, formats: list[str] | None = None, now: int | None = None, force: bool = False) -> Workspace:
+    """Everything from the sources to the reports."""
+    return report(spark, config, output, formats, now, force)
+
+
+def watch_workspace(spark: SparkSession, config: Config, checkpoint: str, output: str | None = None, formats: list[str] | None = None, once: bool = False) -> list:
+    """Build once, then rebuild the projects whose files change: one stream a project folder. `once` ends when all is seen."""
+    root = output or config.output
+    report(spark, config, root, formats)
+    roots = {p.name: os.path.abspath(p.repo) for p in config.projects}
+    languages = sorted({x for p in config.projects for x in p.languages})
+    rebuild = lambda names: report(spark, config, root, formats, only=names)
+    started = []
+    for name, repo in roots.items():
+        changes = watch.file_changes(spark, repo)
+        started.append(watch.watch(changes, roots, rebuild, os.path.join(checkpoint, name), languages, config.exclude, os.path.abspath(root), once))
+    return started
+
+
+def _saved(spark: SparkSession, config: Config, output: str | None, name: str, only: str | None = None) -> list[tuple[str, str]]:
+    """(project, path) of a report file of each project; ValueError names what is missing."""
+    if only and only not in [p.name for p in config.projects]:
+        raise ValueError(f"no such project: {only}")
+    found = [(p.name, os.path.join(output or config.output, p.name, name)) for p in config.projects if not only or p.name == only]
+    if gone := [path for _, path in found if not os.path.exists(path)]:
+        raise ValueError(f"missing {', '.join(gone)}: run the reports first")
+    return found
+
+
+def consolidation(spark: SparkSession, config: Config, output: str | None = None, min_size: int = 2, ignore_allowlist: bool = False, across: bool = False) -> DataFrame:
+    """Groups of nodes with one leaf name, from the saved reports; `across` all projects."""
+    tables, graphs = [], []
+    for name, path in _saved(spark, config, output, "analysis.json"):
+        tables.append(snapshots.read_analysis(spark, path, name).nodes)
+    for name, path in _saved(spark, config, output, "graph.json"):
+        graphs.append(snapshots.read_graph(spark, path, name)[0])
+    join = lambda parts: reduce(DataFrame.unionByName, parts)
+    return smells.consolidation(join(tables), join(graphs), min_size, list(config.allowlist), ignore_allowlist, across)
+
+
+def suggest_stubs(spark: SparkSession, config: Config, output: str | None = None, min_edges: int = 2, only: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates, seen) from the saved graphs."""
+    found = [snapshots.read_graph(spark, path, name) for name, path in _saved(spark, config, output, "graph.json", only)]
+    stubs = [(p.name, s) for p in config.projects for s in (*config.stubs, *p.stubs)]
+    prefixes = [(p.name, v) for p in config.projects for v in p.local_prefix.values]
+    table = lambda rows: spark.createDataFrame(rows, "project string, prefix string") if rows else None
+    join = lambda k: reduce(DataFrame.unionByName, [x[k] for x in found])
+    return smells.suggest_stubs(join(0), join(1), table(stubs), table(prefixes), min_edges)
+
+
+def apply_stubs(path: str, candidates: DataFrame) -> bool:
+    """Add the candidates to the workspace file at once, through a neighbour that is renamed; whether it changed.
+
+    What would be written is parsed first: a file that the result would break stays as it is.
+    """
+    from depweave.sources.config import parse
+
+    with open(path, encoding="utf-8") as lines:
+        text = lines.read()
+    new = reports.apply_stubs(text, reports.stub_scopes(candidates))
+    parse(new)
+    if new == text:
+        return False
+    with open(path + ".part", "w", encoding="utf-8") as out:
+        out.write(new)
+    os.replace(path + ".part", path)
+    return True
+
+
 def summary_json(w: Workspace) -> str:
     rows = smells.workspace_summary(w.nodes, w.edges, w.assignment, w.cycles)
     shared = smells.shared_modules(w.nodes)
@@ -184,23 +292,39 @@ def compare_contracts(spark: SparkSession, config: Config, base: str = ".") -> D
     )
 
 
-def diff(spark: SparkSession, before: str, after: str, threshold: float = drift.THRESHOLD, mirrors: list[str] | None = None) -> dict[str, DataFrame]:
+def mirror_index(config: Config | None) -> dict[str, str]:
+    """The group of each node id that the configuration names as a mirror ("project:id", or an id)."""
+    return {e.partition(":")[2] or e: group for group, ends in config.intentional_mirrors.items() for e in ends} if config else {}
+
+
+def write_drift(parts: dict[str, DataFrame], folder: str, labels: tuple[str, str] | None = None) -> list[str]:
+    """drift-report.json and drift-report.md in a folder."""
+    return [sinks.write_lines([reports.drift_json(parts, labels)], os.path.join(folder, "drift-report.json")), sinks.write_lines(reports.drift_markdown(parts, *([labels] if labels else [])), os.path.join(folder, "drift-report.md"))]
+
+
+def write_trend(project: str, parts: dict[str, DataFrame], folder: str) -> list[str]:
+    """trend-report.json and trend-report.md in a folder."""
+    return [sinks.write_lines([reports.trend_json(project, parts)], os.path.join(folder, "trend-report.json")), sinks.write_lines(reports.trend_markdown(project, parts), os.path.join(folder, "trend-report.md"))]
+
+
+def diff(spark: SparkSession, before: str, after: str, threshold: float = drift.THRESHOLD, mirrors: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Two analysis reports (files, or folders that hold analysis.json)."""
     at = lambda p: os.path.join(p, "analysis.json") if os.path.isdir(p) else p
     return drift.diff(snapshots.read_analysis(spark, at(before)), snapshots.read_analysis(spark, at(after)), threshold, mirrors)
 
 
-def compare(spark: SparkSession, left: str, right: str, labels: tuple[str, str] | None = None, threshold: float = drift.THRESHOLD) -> str:
-    """Two reports side by side as Markdown, labelled by their folders unless told otherwise."""
+def compare(spark: SparkSession, left: str, right: str, labels: tuple[str, str] | None = None, threshold: float = drift.THRESHOLD, form: str = "md") -> str:
+    """Two reports side by side as Markdown or (form 'json') JSON, labelled by their folders unless told otherwise."""
     name = lambda p: os.path.basename(os.path.dirname(p) if p.endswith(".json") else p.rstrip("/")) or p
-    return "\n".join(reports.drift_markdown(diff(spark, left, right, threshold), labels or (name(left), name(right))))
+    parts, labels = diff(spark, left, right, threshold), labels or (name(left), name(right))
+    return reports.drift_json(parts, labels) if form == "json" else "\n".join(reports.drift_markdown(parts, labels))
 
 
 def diff_live(spark: SparkSession, config: Config, baseline: str, project: str, threshold: float = drift.THRESHOLD) -> dict[str, DataFrame]:
     """A saved report against the workspace as it is now (with the configured weights)."""
     t = workspace(spark, config, only=[project]).of(project)
     members = t["communities"].select("project", "community_id", F.explode("members").alias("id"))
-    return drift.diff(snapshots.read_analysis(spark, baseline, project), drift.Snapshot(t["metrics"], t["edges"], members, t["cycles"]), threshold)
+    return drift.diff(snapshots.read_analysis(spark, baseline, project), drift.Snapshot(t["metrics"], t["edges"], members, t["cycles"]), threshold, mirror_index(config))
 
 
 def trend(spark: SparkSession, folder: str, limit: int | None = None) -> dict[str, DataFrame]:
@@ -270,6 +394,14 @@ def shell_line(tools: Tools, line: str) -> DataFrame | None:
     return getattr(tools, words[0])(*words[1 : COMMANDS[words[0]] + 1])
 
 
+def report_age(path: str, now: float) -> int:
+    """Whole days since a report says it was made, or since its file was written where it does not say (or says the future)."""
+    with open(path, encoding="utf-8") as lines:
+        said = re.search(r'"generated_at":"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)Z"', "".join(line for line in lines if '"generated_at"' in line))
+    made = datetime.fromisoformat(said[1] + "+00:00").timestamp() if said else now + 1
+    return int((now - (made if made <= now else os.path.getmtime(path))) // 86_400)
+
+
 def session_brief(spark: SparkSession, root: str, projects: list[str], now: float | None = None, top: int = 10) -> str:
     """The hottest nodes over all reports of a folder, and how old they are."""
     parts, loops, ages = [], [], {}
@@ -279,7 +411,7 @@ def session_brief(spark: SparkSession, root: str, projects: list[str], now: floa
             s = snapshots.read_analysis(spark, path, p)
             parts.append(s.nodes.select("project", "id", "score"))
             loops.append(s.cycles)
-            ages[p] = int(((now or time.time()) - os.path.getmtime(path)) // 86_400)
+            ages[p] = report_age(path, now or time.time())
     if not parts:
         raise ValueError(f"no reports under {root}")
     return reports.session_brief(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, loops), ages, top)

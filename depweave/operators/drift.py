@@ -54,11 +54,12 @@ def _top(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.withColumn("r", rank).filter(F.col("r") <= n).select("project", "id")
 
 
-def hotspot_changes(before: DataFrame, after: DataFrame, threshold: float = THRESHOLD, top: int = TOP, mirrors: list[str] | None = None) -> DataFrame:
+def hotspot_changes(before: DataFrame, after: DataFrame, threshold: float = THRESHOLD, top: int = TOP, mirrors: dict[str, str] | None = None) -> DataFrame:
     """(project, id, bucket, before, after, delta[, intentional_mirror]): rising, falling, new and removed hotspots.
 
     Rising and falling: nodes in both whose score moved by the threshold or more (no move counts as falling).
-    New and removed: differences of the two top lists, a missing score being 0. `mirrors`: ids known to be duplicated on purpose.
+    New and removed: differences of the two top lists, a missing score being 0. `mirrors`: the group
+    of each id that is duplicated on purpose; intentional_mirror names it, or is null.
     """
     scores = before.select("project", "id", F.col("score").alias("before")).join(after.select("project", "id", F.col("score").alias("after")), ["project", "id"], "full_outer")
     moved = scores.filter("before is not null and after is not null").withColumn("delta", F.col("after") - F.col("before")).filter(F.abs("delta") >= threshold)
@@ -67,7 +68,10 @@ def hotspot_changes(before: DataFrame, after: DataFrame, threshold: float = THRE
     known = scores.na.fill(0.0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))
     only = lambda a, b, name: known.join(a.join(b, ["project", "id"], "left_anti"), ["project", "id"], "left_semi").select("project", "id", F.lit(name).alias("bucket"), "before", "after", "delta")
     out = moved.unionByName(only(new, old, "new")).unionByName(only(old, new, "removed"))
-    return out if mirrors is None else out.withColumn("intentional_mirror", F.col("id").isin(mirrors))
+    if not mirrors:
+        return out
+    index = out.sparkSession.createDataFrame(list(mirrors.items()), "id string, intentional_mirror string")
+    return out.join(index, "id", "left").select(*out.columns, "intentional_mirror")
 
 
 def cycle_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -98,7 +102,7 @@ def community_moves(before: DataFrame, after: DataFrame, before_members: DataFra
     return named.select("project", "id", "from_community", "to_community", (F.coalesce("matched", "to_community") != F.col("from_community")).alias("moved"))
 
 
-def diff(before: Snapshot, after: Snapshot, threshold: float = THRESHOLD, mirrors: list[str] | None = None) -> dict[str, DataFrame]:
+def diff(before: Snapshot, after: Snapshot, threshold: float = THRESHOLD, mirrors: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All parts of a drift report by name."""
     return {
         "summary_delta": summary_delta(before, after),

@@ -124,10 +124,27 @@ def _above(folder: str) -> Iterator[str]:
         folder = posixpath.dirname(folder)
 
 
-def resolve(wanted: DataFrame, parsed: DataFrame, contexts: dict[str, Context]) -> DataFrame:
+def file_owners(parsed: DataFrame, contexts: dict[str, Context]) -> DataFrame:
+    """(id, target, owner, others): each path, with its ending, without it and as a package, and the module it is.
+
+    A path that several projects hold belongs to the first of them in the workspace; `others` names the rest.
+    """
+    names = [F.lit(x) for p, c in contexts.items() for x in (p, c.root)]
+    root = F.coalesce(F.element_at(F.create_map(*names), F.col("project")), F.lit("")) if names else F.lit("")
+    full = F.when(root == "", F.col("path")).otherwise(F.concat(root, F.lit("/"), F.col("path")))
+    plain = F.regexp_replace(full, r"\.[^./]+$", "")
+    place = F.array_position(F.array(*[F.lit(p) for p in contexts]), F.col("owner")) if contexts else F.lit(0)
+    rows = parsed.select(F.col("project").alias("owner"), F.col("module_name").alias("target"), F.explode(F.array(full, plain, F.regexp_replace(plain, "/(index|__init__|mod)$", ""))).alias("id"))
+    first = F.struct(F.when(place > 0, place).otherwise(F.lit(1 << 30)), F.col("owner"), F.col("target"))
+    out = rows.groupBy("id").agg(F.min_by(F.struct("target", "owner"), first).alias("b"), F.array_sort(F.collect_set("owner")).alias("all"))
+    return out.select("id", "b.target", "b.owner", F.array_remove(F.col("all"), F.col("b.owner")).alias("others"))
+
+
+def resolve(wanted: DataFrame, parsed: DataFrame, contexts: dict[str, Context], across: bool = True) -> DataFrame:
     """wanted(project, module, raw) -> plus target, owner (project of the target), is_local, resolver_confidence.
 
-    Known ids are all modules and all defined symbols of a project. A path alias may lead into another project.
+    Known ids are all modules and all defined symbols of a project. With `across`, a path alias may lead into another
+    project.
     """
     info = parsed.select("project", F.col("module_name").alias("module"), "is_package", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "use_aliases")
     info = info.groupBy("project", "module").agg(F.max("is_package").alias("is_package"), F.min("folder").alias("folder"), F.first("use_aliases").alias("use_aliases"))
@@ -146,16 +163,13 @@ def resolve(wanted: DataFrame, parsed: DataFrame, contexts: dict[str, Context])
     options = rows.mapInPandas(run, schema).select("project", "module", "raw", F.posexplode("options").alias("pos", "o")).select("project", "module", "raw", "pos", "o.*")
     defined = parsed.select("project", F.explode("nodes").alias("n")).select("project", F.col("n.id").alias("id"))
     known = stage(defined.unionByName(parsed.select("project", F.col("module_name").alias("id"))).distinct(), "known-ids")
-    root = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, c in contexts.items() for x in (p, c.root)]), F.col("project")), F.lit("")) if contexts else F.lit("")
-    full = F.when(root == "", F.col("path")).otherwise(F.concat(root, F.lit("/"), F.col("path")))
-    plain = F.regexp_replace(full, r"\.[^./]+$", "")
-    paths = parsed.select(F.col("project").alias("owner"), F.col("module_name").alias("target"), F.explode(F.array(full, plain, F.regexp_replace(plain, "/(index|__init__|mod)$", ""))).alias("id")).groupBy("id").agg(F.min_by("target", "owner").alias("target"), F.min("owner").alias("owner"))
+    paths = file_owners(parsed, contexts).drop("others")
     ends = known.withColumn("parts", F.split("id", r"\.")).select("project", F.col("id").alias("target"), F.explode(F.expr("transform(sequence(2, greatest(size(parts), 2)), i -> array_join(slice(parts, i, size(parts)), '.'))")).alias("id")).filter("id <> ''")
     ends = ends.groupBy("project", "id").agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     direct = options.filter("how in ('known', 'sure')").join(known.withColumn("is_local", F.lit(True)), ["project", "id"], "left").withColumn("is_local", F.coalesce("is_local", F.lit(False))).filter("is_local or how = 'sure'")
     columns = ["project", "module", "raw", "pos", "confidence", "target", "owner", "is_local"]
     direct = direct.withColumn("target", F.col("id")).withColumn("owner", F.col("project")).select(*columns)
-    by_path = options.filter("how = 'path'").join(paths, "id").withColumn("is_local", F.lit(True)).select(*columns)
+    by_path = options.filter("how = 'path'").join(paths, "id").filter(F.lit(across) | (F.col("owner") == F.col("project"))).withColumn("is_local", F.lit(True)).select(*columns)
     by_end = options.filter("how = 'suffix'").join(ends, ["project", "id"]).withColumn("owner", F.col("project")).withColumn("is_local", F.lit(True)).select(*columns)
     best = direct.unionByName(by_path).unionByName(by_end).groupBy("project", "module", "raw").agg(F.min_by(F.struct("target", "owner", "is_local", F.col("confidence").alias("resolver_confidence")), "pos").alias("b"))
     return best.select("project", "module", "raw", "b.*")
@@ -202,15 +216,18 @@ def walk_reexports(starts: DataFrame, named: DataFrame, stars: DataFrame, known:
     return out.select(F.col("s_project").alias("project"), F.col("s_module").alias("module"), F.col("s_name").alias("name"), state.alias("state"), F.col("e_project").alias("to_project"), F.col("e_module").alias("to_module"), F.col("e_name").alias("to_name"), "alternatives")
 
 
-def build_graph(parsed: DataFrame, contexts: dict[str, Context] | None = None, stubs: DataFrame | None = None, language: DataFrame | str = "Python") -> tuple[DataFrame, DataFrame]:
-    """Nodes and merged edges of all projects: names resolved, barrels collapsed into their canonical symbols, placeholders added."""
+def build_graph(parsed: DataFrame, contexts: dict[str, Context] | None = None, stubs: DataFrame | None = None, language: DataFrame | str = "Python", across: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nodes and merged edges of all projects: names resolved, barrels collapsed into their canonical symbols, placeholders added.
+
+    `across`: path aliases may lead from one project into another.
+    """
     contexts = contexts or {}
     parsed = stage(parsed, "parsed")
     raw = parsed.select("project", "path", F.posexplode("edges").alias("k", "e")).select("project", "path", "k", "e.*")
     named_imports = parsed.select("project", "path", F.posexplode("named_imports").alias("k", "i")).select("project", "path", "k", F.col("i.from_module").alias("module"), F.col("i.raw_target").alias("raw"), "i.line", "i.specs")
     reexports = parsed.select("project", F.explode("reexports").alias("r")).select("project", F.col("r.from_module").alias("module"), F.col("r.raw_target").alias("raw"))
     wanted = raw.filter("kind <> 'Defines'").select("project", F.col("src").alias("module"), F.col("dst").alias("raw")).unionByName(named_imports.select("project", "module", "raw")).unionByName(reexports)
-    resolved = stage(resolve(wanted, parsed, contexts), "resolved")
+    resolved = stage(resolve(wanted, parsed, contexts, across), "resolved")
     known = parsed.select("project", F.col("module_name").alias("id")).distinct()
     named, stars = reexport_hops(parsed, resolved)
     named = stage(named, "named")

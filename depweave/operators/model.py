@@ -11,11 +11,6 @@ NODE_COLUMNS = ("project", "id", "kind", "file_path", "language", "line", "is_lo
 EDGE_COLUMNS = ("project", "src", "dst", "kind", "weight", "line", "confidence", "confidence_kind")
 
 
-def raw_edge(src: Column, dst: Column, kind: str, line: Column, confidence: float = 1.0, confidence_kind: str = "Extracted") -> list[Column]:
-    """The columns of an edge record with the usual defaults."""
-    return [src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("weight"), line.cast("long").alias("line"), F.lit(float(confidence)).alias("confidence"), F.lit(confidence_kind).alias("confidence_kind")]
-
-
 def merge_nodes(raw: DataFrame) -> DataFrame:
     """raw(project, id, ..., seq): of each id the record with the least seq."""
     rest = [c for c in raw.columns if c not in ("project", "id", "seq")]

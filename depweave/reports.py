@@ -18,6 +18,7 @@ ROWS = 5
 
 
 def table_json(df: DataFrame, *order: str) -> str:
+    """One JSON text, for tables that a report bounds (drift, gates, candidates); graphs are streamed by depweave.sinks."""
     return "[" + ",".join(lines_of(df, F.to_json(F.struct(*df.columns)), *order)) + "]"
 
 
@@ -38,13 +39,13 @@ def drift_markdown(parts: dict[str, DataFrame], labels: tuple[str, str] = ("befo
         yield from ("", f"## Nodes {change}", "")
         yield from lines_of(parts["nodes"].filter(F.col("change") == change), F.concat(F.lit("- `"), "id", F.lit("`")), "id")
     hot = parts["hotspots"]
-    mirrored = F.col("intentional_mirror") if "intentional_mirror" in hot.columns else F.lit(False)
+    mirrored = F.col("intentional_mirror").isNotNull() if "intentional_mirror" in hot.columns else F.lit(False)
     for bucket in ("rising", "falling", "new", "removed"):
         yield from ("", f"## Hotspots {bucket}", "", "| node | before | after | delta |", "|---|---|---|---|")
         yield from lines_of(hot.filter((F.col("bucket") == bucket) & ~mirrored), F.format_string("| `%s` | %.3f | %.3f | %+.3f |", "id", "before", "after", "delta"), F.desc("delta") if bucket in ("rising", "new") else "delta", "id")
     if "intentional_mirror" in hot.columns:
         yield from ("", "## Intentional mirrors", "")
-        yield from lines_of(hot.filter("intentional_mirror"), F.format_string("- `%s` %+.3f (%s)", "id", "delta", "bucket"), "id")
+        yield from lines_of(hot.filter("intentional_mirror is not null"), F.format_string("- `%s` %+.3f (%s, %s)", "id", "delta", "bucket", "intentional_mirror"), "id")
     for change in ("introduced", "resolved"):
         yield from ("", f"## Cycles {change}", "")
         yield from lines_of(parts["cycles"].filter(F.col("change") == change), F.concat(F.lit("- "), F.array_join("nodes", " → ")), F.array_join("nodes", ">"))
@@ -76,11 +77,6 @@ def check_json(rows: DataFrame, violations: DataFrame, contracts: DataFrame | No
     return "{" + ",".join(fields) + "}"
 
 
-def contract_markdown(violations: DataFrame) -> Iterable[str]:
-    yield from ("## Contracts", "")
-    yield from lines_of(violations, F.format_string("- **%s** line %d: %s `%s` (%s)", "pair", "line", "violation", "name", "severity"), "pair", "line", "rank", "name")
-
-
 def consolidation_markdown(groups: DataFrame, across: bool = False) -> Iterable[str]:
     yield from ("# Consolidation candidates" + (" across projects" if across else ""), "")
     members = F.array_join(F.transform("members", lambda m: F.concat(F.lit("`"), m["id"], F.lit("` ("), m["fan_in"].cast("string"), F.lit(")"))), ", ")
@@ -96,11 +92,26 @@ def stubs_markdown(candidates: DataFrame, seen: DataFrame) -> Iterable[str]:
         yield from lines_of(seen.filter(F.col("state") == state), F.concat(F.lit("- `"), "prefix", F.lit("`")), "prefix")
 
 
-def stubs_toml(candidates: DataFrame) -> str:
-    """external_stubs lists: for the settings, then for each project."""
+def consolidation_json(groups: DataFrame, across: bool = False) -> str:
+    order = ([F.desc("project_count")] if across else []) + [F.desc("group_size"), "leaf_name"]
+    return f'{{"candidates":{table_json(groups, *order)}}}'
+
+
+def stubs_json(candidates: DataFrame, seen: DataFrame) -> str:
+    return f'{{"candidates":{table_json(candidates, "scope", F.desc("edge_weight"), "prefix")},"seen":{table_json(seen, "state", "prefix")}}}'
+
+
+def stub_scopes(candidates: DataFrame) -> dict[str, list[str]]:
+    """The suggested prefixes by scope, heaviest first."""
     scopes: dict[str, list[str]] = {}
     for r in candidates.select("scope", "prefix", "edge_weight").orderBy("scope", F.desc("edge_weight"), "prefix").toLocalIterator():
         scopes.setdefault(r["scope"], []).append(r["prefix"])
+    return scopes
+
+
+def stubs_toml(candidates: DataFrame) -> str:
+    """external_stubs lists: for the settings, then for each project."""
+    scopes = stub_scopes(candidates)
     order = sorted(scopes, key=lambda s: (s != "settings", s))
     return "\n".join((f"[settings]\n" if s == "settings" else f'# project "{s}"\n') + f"external_stubs = {json.dumps(scopes[s])}\n" for s in order)
 
