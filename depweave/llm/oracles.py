@@ -92,3 +92,25 @@ with a as (select page_id, url, list_filter(list_transform(string_split_regex(re
   lambda s: trim(regexp_replace(replace(replace(regexp_replace(s, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda s: s <> '') blocks from pages)
 select page_id, url, array_to_string(blocks, chr(10)) as text, length(array_to_string(blocks, chr(10))) n_chars from a
 """
+
+#: The base of op2: words, symbols, repeated lines and repeated three-word windows.
+RULE_STATISTICS = r"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+g as (select r, i, array_to_string(w[i + 1 : i + 3], ' ') g from (select r, w, unnest(range(len(w) - 2)) i from d where len(w) >= 3)),
+k as (select r, g from g group by 1, 2 having count(*) > 1),
+p as (select g.r, count(distinct g.i + o.o) n from g join k on k.r = g.r and k.g = g.g cross join (values (0), (1), (2)) o(o) group by 1),
+l as (select r, count(*) - count(distinct line) n from (select r, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+  cast(coalesce(l.n, 0) as bigint) n_dup_lines, cast(coalesce(p.n, 0) as bigint) n_repeat_words, len(w) < 50 or 100 * coalesce(p.n, 0) > 50 * len(w) base_failed
+from d left join l on l.r = d.r left join p on p.r = d.r
+"""
+
+#: Fingerprints made from document numbers: five share all but a few bits.
+FINGERPRINTS = "select distinct cast(floor(doc_id / 5) as bigint) % 1000003 * 2654435761 * 256 + case doc_id % 5 when 0 then 1 when 1 then 2 when 2 then 4 when 3 then 3 else 56 end fp from {documents}"
+
+#: Links of given fingerprints by comparing all pairs, and what they connect.
+FINGERPRINT_COMPONENTS = f"""
+with recursive f as ({FINGERPRINTS.format(documents="documents")}), l as (select a.fp u, b.fp v from f a join f b on a.fp <> b.fp and bit_count(xor(a.fp, b.fp)) <= 2),
+c(a, b) as (select u, v from l union select c.a, l.v from c join l on l.u = c.b)
+select a as fingerprint, least(a, min(b)) root from c group by a
+"""

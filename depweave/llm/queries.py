@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.llm import brown, chat, decontam, html, linededup, oracles, packing, quality, rules, simhash, urls
-from depweave.llm.common import read
+from depweave.llm.common import read, stage
+from depweave.llm.components import connected_components
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +84,23 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express."""
+    stats = rules.with_statistics(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("base_failed", rules.base_failed())
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def fingerprint_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's index and components on given fingerprints (SQL has no XXH64)."""
+    fps = stage(spark.sql(oracles.FINGERPRINTS, documents=read(spark, sf_dir, "documents")), "given-fingerprints")
+    members = connected_components(simhash.fingerprint_links(fps), "given-edges")
+    return members.select(F.col("node").alias("fingerprint"), "root")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_quality_classifier, op2_quality_rules, op3_decontaminate, op4_url_filter, op5_chat_format, op6_line_dedup, op7_brown_lm, op8_best_fit_packing, op9_simhash, op10_html_text)
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in (*named, rule_statistics, fingerprint_components)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op5_chat_format": oracles.OP5, "op6_line_dedup": oracles.OP6, "op10_html_text": oracles.OP10}
+    return {"op3_decontaminate": oracles.OP3, "op4_url_filter": oracles.op4(URL_RULES), "op5_chat_format": oracles.OP5, "op6_line_dedup": oracles.OP6, "op10_html_text": oracles.OP10, "rule_statistics": oracles.RULE_STATISTICS, "fingerprint_components": oracles.FINGERPRINT_COMPONENTS}

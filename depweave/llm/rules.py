@@ -21,6 +21,7 @@ from depweave.llm.common import arrow_batch, schema_of, stage
 
 #: Labelled rows that rules are learned from, at most: those with the least rank, a hash of their id.
 MAX_ROWS = 20_000
+#: Thresholds tried a feature; bounds of the list's and a rule's length: rows of label 0 that twelve rules do not cover are kept.
 CUTS, MAX_RULES, MAX_CONDITIONS, PRUNE_SHARE = 24, 12, 4, 3
 SYMBOLS = b"#*$%&|<>"
 _TAILS = bytes(range(0x80, 0xC0))
@@ -64,7 +65,7 @@ def statistics(data: bytes | None) -> tuple[int, ...]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, STATISTICS...) of docs(doc_id, text), row by row."""
+    """(doc_id, STATISTICS...) of docs(doc_id, text), row by row. A null text has no words and no lines with words: all are 0 but n_lines."""
     schema = schema_of("doc_id long, " + ", ".join(f"{x} long" for x in STATISTICS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +153,14 @@ def prune(rule: Rule, table: dict[str, np.ndarray], bad: np.ndarray) -> tuple[Ru
     return best[1], best[2]
 
 
-def learn(table: dict[str, np.ndarray], quality: np.ndarray, min_precision: float = 0.9) -> list[Rule]:
-    """An ordered list of rules for label 0; empty without labelled rows of both classes."""
+def learn(table: dict[str, np.ndarray], quality: np.ndarray, min_precision: float = 0.9, max_rules: int = MAX_RULES) -> list[Rule]:
+    """An ordered list of at most max_rules rules for label 0; empty without labelled rows of both classes."""
     bad = np.asarray(quality) == 0
     if not bad.any() or bad.all():
         return []
     held = np.arange(len(bad)) % PRUNE_SHARE == PRUNE_SHARE - 1
     left, rules = np.ones(len(bad), bool), []
-    while len(rules) < MAX_RULES and (left & bad & ~held).sum() >= 2:
+    while len(rules) < max_rules and (left & bad & ~held).sum() >= 2:
         part = lambda rows: ({k: v[rows] for k, v in table.items()}, bad[rows])
         own, y = part(left & ~held)
         cuts = {k: np.unique(np.concatenate([np.quantile(v, np.linspace(0.02, 0.98, CUTS)), np.quantile(v[y], np.linspace(0.05, 0.95, CUTS))])) for k, v in own.items()}

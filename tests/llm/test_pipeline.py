@@ -55,5 +55,22 @@ def test_run_gives_the_last_stage(spark, folder):
     assert max(r[1] for r in filled) <= 1024
 
 
+def test_odd_rows_go_through_all_stages(spark, folder, tmp_path):
+    """Null ids and texts, empty and repeated rows, and an empty table: no stage fails, nothing clean is lost."""
+    root = str(tmp_path)
+    good = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id between 1 and 5")
+    odd = spark.createDataFrame([(None, None), (None, ""), (1, None), (7000, " \n "), (7000, " \n "), (7001, "")], "doc_id long, text string")
+    docs = good.unionByName(good.filter("doc_id = 2")).unionByName(odd.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars", "'more' __found"))
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{table}.parquet").write.parquet(f"{root}/{table}.parquet")
+    for rows in (docs, docs.limit(0)):
+        now = spark.createDataFrame(rows.collect(), rows.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, root)
+            now = spark.createDataFrame(out.collect(), out.schema)
+        kept = {r["doc_id"] for r in now.collect()}
+        assert kept >= {1, 2, 3, 4, 5} if rows is docs else not kept
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_duplicates", "decontamination", "best_fit_packing"]
