@@ -251,7 +251,10 @@ def summary_json(w: Workspace) -> str:
 
 
 def check(spark: SparkSession, config: Config, limits: policy.Limits = policy.Limits(), output: str | None = None, with_contracts: bool | None = None) -> tuple[bool, DataFrame, DataFrame]:
-    """Gates and rules with default weights: (all ok, report rows, policy violations); the report goes to every project's folder."""
+    """Gates and rules with default weights: (all ok, report rows, policy violations).
+
+    The report, and that of the contracts if they are checked, goes to every project's folder.
+    """
     w = workspace(spark, config, weights=metrics.Weights())
     gate = policy.gates(w.metrics, w.edges, w.assignment, w.cycles, limits, {p.name: p.limits for p in config.projects}, allowlisted(F.col("id"), list(config.allowlist)) if config.allowlist else None)
     found = stage(policy.evaluate(w.nodes, w.edges, list(config.groups), list(config.rules)), "violations")
@@ -261,6 +264,8 @@ def check(spark: SparkSession, config: Config, limits: policy.Limits = policy.Li
     text = reports.check_json(rows, found, pairs)
     for p in config.projects:
         sinks.write_lines([text], os.path.join(output or config.output, p.name, "check-report.json"))
+        if pairs is not None:
+            sinks.write_lines(reports.contract_markdown(pairs), os.path.join(output or config.output, p.name, "contract-report.md"))
     return bool(rows.filter("project is null").first()["ok"]), rows, found
 
 

@@ -148,6 +148,9 @@ def test_aliases_lead_into_other_projects(spark, tree):
     _, edges = extract.build_graph(parts[0].unionByName(parts[1]), ctx)
     got = {(r["src"], r["dst"]): r["confidence_kind"] for r in edges.filter("kind = 'Imports'").collect()}
     assert got == {("src.page", "src.api"): "Inferred", ("src.page", "src.lib.x"): "Inferred", ("src.page", "src.missing"): "Ambiguous"}
+    _, edges = extract.build_graph(parts[0].unionByName(parts[1]), ctx, across=False)  # each project by itself
+    got = {(r["src"], r["dst"]): r["confidence_kind"] for r in edges.filter("kind = 'Imports'").collect()}
+    assert "Inferred" not in [v for (_, dst), v in got.items() if "api" in dst] and got["src.page", "src.lib.x"] == "Inferred"
 
 
 def test_rust_and_go_names(spark, tree):
