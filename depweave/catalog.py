@@ -166,8 +166,8 @@ def confidence_pipeline(spark, sf_dir):
 def stream_rebuild(spark, sf_dir):
     """The edges after all event files came in as a stream: the same rows as one merge."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    merge = lambda events: model.merge_edges(spark.sql(graphs.FLOW_RAW, events=events))
-    return watch.rebuild_edges(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string", merge, f"{folder}/state", f"{folder}/checkpoint")
+    records = lambda events: events.sparkSession.sql(graphs.FLOW_RAW, events=events)
+    return watch.rebuild_edges(spark, f"{sf_dir}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string", records, f"{folder}/state", f"{folder}/checkpoint")
 
 
 # --- predicates and names ----------------------------------------------------------------------------------------

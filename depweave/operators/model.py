@@ -32,6 +32,21 @@ def merge_edges(raw: DataFrame) -> DataFrame:
     return out.select(*EDGE_COLUMNS)
 
 
+def edge_state(raw: DataFrame) -> DataFrame:
+    """What merge_edges needs to know of some records, so that the states of several batches can be put together."""
+    return raw.groupBy("project", "src", "dst", "kind").agg(
+        F.count(F.lit(1)).alias("weight"),
+        F.min(F.struct("seq", "line")).alias("first"),
+        F.min(F.struct((-F.col("confidence")).alias("c"), F.col("seq"), F.col("confidence_kind").alias("kind"))).alias("best"),
+    )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """Merged edges from the states of any number of batches: the rows of merge_edges over all their records."""
+    out = states.groupBy("project", "src", "dst", "kind").agg(F.sum("weight").alias("weight"), F.min("first").alias("first"), F.min("best").alias("best"))
+    return out.select("project", "src", "dst", "kind", "weight", F.col("first.line").alias("line"), (-F.col("best.c")).alias("confidence"), F.col("best.kind").alias("confidence_kind")).select(*EDGE_COLUMNS)
+
+
 def placeholder_nodes(nodes: DataFrame, edges: DataFrame, language: str | DataFrame = "Python") -> DataFrame:
     """A Module node for every endpoint that has none. `language`: one name, or a table (project, language)."""
     ends = edges.select("project", F.explode(F.array("src", "dst")).alias("id")).distinct()

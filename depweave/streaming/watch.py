@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from depweave.operators.model import edge_state, merge_states
 from depweave.sources.files import DEFAULT_EXCLUDES, EXTENSIONS
 
 DEBOUNCE = "300 milliseconds"
@@ -49,20 +50,22 @@ def file_changes(spark: SparkSession, folder: str, per_batch: int = 1000) -> Dat
     return raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "modificationTime", "length")
 
 
-def rebuild_edges(spark: SparkSession, source: str, schema: str, merge: Callable[[DataFrame], DataFrame], state: str, checkpoint: str) -> DataFrame:
-    """Merge a stream of raw edge files into a state table, batch by batch, until no file is left; the final table.
+def rebuild_edges(spark: SparkSession, source: str, schema: str, records: Callable[[DataFrame], DataFrame], state: str, checkpoint: str) -> DataFrame:
+    """Merged edges of a stream of event files, batch by batch, until no file is left; records(events) are its raw edges.
 
-    Each batch appends its raw records under its own number (a repeated batch overwrites itself), and the merged table
-    is computed from all of them: the same rows as one merge over the whole input.
+    Each batch is reduced to one state row an edge before it is kept, under its own number (a repeated batch overwrites
+    itself); the edges are merged from the states: the same rows as one merge over the whole input.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     reader = spark.readStream.schema(schema)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():  # a stream reads folders: take the one file of its folder
         reader, source = reader.option("pathGlobFilter", path.getName()), path.getParent().toString()
     stream = reader.parquet(source)
+    none = edge_state(records(spark.createDataFrame([], schema)))
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        edge_state(records(df)).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
+    none.write.mode("overwrite").parquet(f"{state}/batch=-1")  # so that there is a table also without a file
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return merge(spark.read.schema(schema).parquet(state).select(*[c.split()[0] for c in schema.split(", ")]))
+    return merge_states(spark.read.schema(none.schema).parquet(state).select(*none.columns))

@@ -87,6 +87,8 @@ def test_merge_rules(spark):
     got = {r["kind"]: r for r in model.merge_edges(raw).collect()}
     assert (got["Imports"]["weight"], got["Imports"]["line"], got["Imports"]["confidence"], got["Imports"]["confidence_kind"]) == (3, 9, 0.9, "Inferred")
     assert got["Calls"]["weight"] == 1
+    states = model.edge_state(raw.filter("seq <> 2")).unionByName(model.edge_state(raw.filter("seq = 2")))
+    assert sorted(map(str, model.merge_states(states).collect())) == sorted(map(str, model.merge_edges(raw).collect()))
 
 
 @pytest.mark.parametrize("text,n,want", [("a>b", "ab", 1.0), ("c>d", "ab", 0.0), ("a>b b>c c>a", "abc", 1.0), ("a>b b>a", "abc", 1 / 3), ("a>b", "a", 1.0)])
