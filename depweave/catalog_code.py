@@ -313,9 +313,11 @@ def text_escapes(spark, sf_dir):
 def times_and_styles(spark, sf_dir):
     """ISO times from epochs, ages in days (none in the future), styles by score."""
     score = F.when(F.col("event_type") == "view", 0.6).when(F.col("event_type") == "click", 0.3).otherwise(0.29)
-    t = graphs.read(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("s"), score.alias("score"))
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    t = graphs.read(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("s"), (F.col("ts") <= now).alias("past"), score.alias("score"))
     t = t.withColumn("iso", text.iso_utc(F.col("s")))
-    return t.select("event_id", "iso", text.age_days(F.col("iso"), F.lit("2024-01-20 12:00:00").cast("timestamp")).alias("age_days"), text.score_style(F.col("score")).alias("style"))
+    age = F.when(F.col("past"), text.age_days(F.col("iso"), now))  # the text has whole seconds, the time itself may lie in the second after now
+    return t.select("event_id", "iso", age.alias("age_days"), text.score_style(F.col("score")).alias("style"))
 
 
 # --- reports -----------------------------------------------------------------------------------------------------
