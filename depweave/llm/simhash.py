@@ -12,7 +12,7 @@ Links are handed on as a spanning forest, so a group of n near copies costs n ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -30,11 +30,11 @@ SEED, SHINGLE, BITS = 42, 3, 2
 BLOCK = 1 << 18
 
 
-def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of UTF-8 bytes; 0 for null or no words."""
+def shingle_hashes(data: bytes | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of all shingles of UTF-8 bytes, repeats included, in blocks; nothing for null or no words."""
     words = (data or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return
     buf = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -43,13 +43,24 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    total, ones = len(starts), np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for i in range(0, total, BLOCK):
+    for i in range(0, len(starts), BLOCK):
         parts = map(buf.__getitem__, map(slice, starts[i : i + BLOCK].tolist(), ends[i : i + BLOCK].tolist()))
-        hashes = np.fromiter(map(digest, parts, repeat(SEED)), np.uint64, len(starts[i : i + BLOCK]))
+        yield np.fromiter(map(digest, parts, repeat(SEED)), np.uint64, len(starts[i : i + BLOCK]))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint of blocks of hashes: the bits set in over half of them; 0 without any."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        total += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
+
+
+def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of UTF-8 bytes; 0 for null or no words."""
+    return majority(shingle_hashes(data, shingle))
 
 
 def with_fingerprint(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
