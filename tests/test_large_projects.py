@@ -40,3 +40,10 @@ def test_components_by_number(graph, monkeypatch):
     monkeypatch.setattr(cycles, "_components_by_colour", refuse)
     assert rows(cycles.components(*graph)) == expected
     assert {r["id"] for r in cycles.in_cycle(*graph).filter("in_cycle").collect()} == {i for p, i, c in expected if sum(x[::2] == (p, c) for x in expected) > 1}
+
+
+def test_pairs_need_no_components(graph, monkeypatch):
+    monkeypatch.setattr(cycles, "components", refuse)
+    found = {(r["project"], *r["nodes"]) for r in cycles.bounded_cycles(*graph, 2).collect()}
+    pairs = {tuple(r) for r in graph[1].collect()}
+    assert found == {(p, a, b) for p, a, b in pairs if a < b and (p, b, a) in pairs} and found
