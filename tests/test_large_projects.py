@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from depweave.operators import cycles
+from depweave.operators import cycles, metrics
 from depweave.plans import staging
 
 
@@ -47,3 +47,22 @@ def test_pairs_need_no_components(graph, monkeypatch):
     found = {(r["project"], *r["nodes"]) for r in cycles.bounded_cycles(*graph, 2).collect()}
     pairs = {tuple(r) for r in graph[1].collect()}
     assert found == {(p, a, b) for p, a, b in pairs if a < b and (p, b, a) in pairs} and found
+
+
+def near(a, b):
+    return len(a) == len(b) and all(x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-9) for x, y in zip(a, b, strict=True))
+
+
+def test_betweenness_by_number(graph, monkeypatch):
+    expected = rows(metrics.betweenness(*graph, sources=20, batch=7, distributed=True))
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 0)
+    monkeypatch.setattr(metrics, "_betweenness_by_levels", refuse)
+    monkeypatch.setattr(metrics, "STATES", 500)
+    assert near(rows(metrics.betweenness(*graph, sources=20, batch=7)), expected) and any(x[2] for x in expected)
+
+
+def test_pagerank_by_number(graph, monkeypatch):
+    expected = rows(metrics.pagerank(*graph, distributed=False))
+    monkeypatch.setattr(staging, "KERNEL_ROWS", 0)
+    monkeypatch.setattr(metrics, "_pagerank_by_rounds", refuse)
+    assert near(rows(metrics.pagerank(*graph)), expected)
