@@ -1,11 +1,21 @@
-"""Connected components of an edge table by alternating star contractions, on DataFrame operations only."""
+"""Connected components of an edge table by alternating star contractions, on DataFrame operations only.
+
+Few edges between numbers go to one task instead (linked).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.common import discard, stage
+from depweave.llm.common import arrow_batch, discard, schema_of, stage
+
+#: Edges of two longs that one task may hold; more take the rounds.
+FEW_EDGES = 1_000_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,3 +53,34 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def linked(edges: DataFrame, label: str = "components", few: int | None = None) -> DataFrame:
+    """connected_components of edges(u long, v long), without rounds if there are at most `few` (FEW_EDGES).
+
+    Rounds write a table each: on a few edges that is all they cost, and a process for every file written.
+    """
+    if edges.count() > (FEW_EDGES if few is None else few):
+        return connected_components(edges, label)
+    schema = schema_of("node long, root long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        nodes, root = roots_of(*(np.concatenate([np.empty(0, np.int64), *(x[k] for x in ends)]) for k in (0, 1)))
+        yield arrow_batch({"node": pa.array(nodes), "root": pa.array(root)}, schema)
+
+    return edges.filter("u <> v").select("u", "v").repartition(1).mapInArrow(run, schema)
+
+
+def roots_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges, rising, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = low[apart], high[apart]
+        np.minimum.at(root, b, a)
+        while (root != (up := root[root])).any():
+            root = up
+    return nodes, nodes[root]
